@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import minhash
+from ridgeline.llm import bpe, chat, media, minhash, packing, topk, warc
+from ridgeline.session import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +21,43 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to web archives, and the archives read back."""
+    archives = Workspace(spark, "warc").write(warc.write(_table(spark, sf_dir, "pages")))
+    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents and their decoded texts, as counts and digests."""
+    return bpe.digests(_table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of control strings, rendered and read back."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], rows.schema)
+    return chat.read_back(chat.format_events(chat.events_of_turns(rows.unionByName(extra)), interleaved=False))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every twentieth vector."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as media containers and read back by their sample tables."""
+    return media.read_back(media.store(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_minhash": op1_minhash}
+    own = (op1_minhash, op2_warc, op5_bpe, op7_packing, op8_chat, op9_topk, op10_media)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
