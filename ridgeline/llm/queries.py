@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import bpe, chat, media, minhash, packing, topk, warc
+from ridgeline.llm import bpe, chat, media, minhash, packing, secrets, topk, warc
 from ridgeline.session import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of all documents: counts and places of the base kinds and of the others."""
+    return secrets.summary(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
@@ -56,9 +61,9 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_minhash, op2_warc, op5_bpe, op7_packing, op8_chat, op9_topk, op10_media)
+    own = (op1_minhash, op2_warc, op5_bpe, op6_secrets, op7_packing, op8_chat, op9_topk, op10_media)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_secrets": secrets.oracle_sql()}
