@@ -71,19 +71,28 @@ def runs(member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
+class SpanHasher:
+    """64-bit hashes of spans of code points, by prefix sums of a polynomial in an odd base."""
+
+    def __init__(self, points: np.ndarray):
+        up, self.down = _POWERS.get(len(points) + 1)
+        self.sums = np.zeros(len(points) + 1, U64)
+        values = points.astype(U64)
+        values += U64(0x632BE59BD9B4E019)
+        mix(values)
+        values *= up[: len(points)]
+        np.cumsum(values, out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = self.sums[ends] - self.sums[starts]
+        out *= self.down[starts]
+        out ^= (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)
+        return mix(out)
+
+
 def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of code points, by prefix sums of a polynomial in an odd base."""
-    up, down = _POWERS.get(len(points) + 1)
-    sums = np.zeros(len(points) + 1, U64)
-    values = points.astype(U64)
-    values += U64(0x632BE59BD9B4E019)
-    mix(values)
-    values *= up[: len(points)]
-    np.cumsum(values, out=sums[1:])
-    out = sums[ends] - sums[starts]
-    out *= down[starts]
-    out ^= (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)
-    return mix(out)
+    """The hash of each span."""
+    return SpanHasher(points).of(starts, ends)
 
 
 def white_space(points: np.ndarray) -> np.ndarray:
