@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,3 +61,15 @@ def temperature(logits: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[
         if np.abs(step).max() < 1e-6:
             break
     return float(max(a, 1e-3)), float(b)
+
+
+def keep(docs: DataFrame, score: Callable[[Sequence[str]], np.ndarray], good: Callable[[np.ndarray], np.ndarray], text: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, whose text's score is good; no row leaves its partition. Null texts count as empty."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(good(score([t or "" for t in batch.column(at).to_pylist()]))))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,10 +6,10 @@ universe, the other is read from ever later starting points, a circular shift fo
 1. Documents with equal shingle sets become one representative (their least id).
 2. Bands of coordinates put representatives into buckets; each is verified against the least id
    of each of its buckets, so a bucket costs a number of pairs linear in its size.
-3. Verified links give components. Only buckets that still hold several components are looked at
-   again: their members are compared in blocks by signature, pairs that can be links are verified,
-   and this repeats until no unverified pair between two components is left. So no link that
-   banding can find is lost, while pairs inside a component are never listed.
+3. Verified links give components. Documents that buckets connect, but links do not yet, are looked
+   at again in blocks: a product of incidence matrices counts the shingles that any two of them
+   share, and a document gives one link for each other component in which it has any. So no link
+   that banding can find is lost, while the pairs of a group are never listed.
 """
 
 from __future__ import annotations
@@ -31,12 +31,10 @@ from ridgeline.session import Workspace
 BANDS, ROWS = 32, 6
 #: Shift positions of the universe; shingles are scattered over it.
 UNIVERSE = 1 << 20
-#: Members of a bucket that are compared in one block.
-BLOCK = 512
-#: Standard deviations of the signature's estimate below the threshold at which a pair is still verified.
-SLACK = 6.0
+#: Documents on each side of a block, shingles of a block's matrices at a time, and documents that buckets connect which are compared as one group.
+BLOCK, COLUMNS, GROUP = 512, 4096, 1 << 15
 
-_SIGNED = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>, sketch binary"
+_SIGNED = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>"
 
 
 class Circulant:
@@ -65,7 +63,7 @@ def _sign(width: int, bands: int, rows: int):
         band_salt = _text.mix(np.arange(1000, 1000 + bands, dtype=np.uint64))
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            sizes, his, los, keys, sketches = [], [], [], [], []
+            sizes, his, los, keys = [], [], [], []
             for lo, hi in _text.chunks(texts):
                 hashes, at = _text.shingle_hashes(texts[lo:hi], width)
                 for i in range(hi - lo):
@@ -76,18 +74,16 @@ def _sign(width: int, bands: int, rows: int):
                     los.append(digest[1])
                     if not len(distinct):
                         keys.append(np.zeros(0, np.int64))
-                        sketches.append(b"")
                         continue
                     signature = circulant.signature(distinct)
                     grouped = signature.reshape(bands, rows).astype(np.uint64) * multipliers
                     keys.append(_text.mix(grouped.sum(axis=1, dtype=np.uint64) + band_salt).view(np.int64))
-                    sketches.append(signature.astype(np.uint8).tobytes())
             offsets = np.zeros(len(keys) + 1, np.int32)
             np.cumsum([len(k) for k in keys], out=offsets[1:])
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sketches, pa.binary())],
-                ["doc_id", "n_shingles", "set_hi", "set_lo", "bands", "sketch"],
+                [ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                ["doc_id", "n_shingles", "set_hi", "set_lo", "bands"],
             )
 
     return run
@@ -128,82 +124,109 @@ def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return both.mapInArrow(_verify(width, percent), "a long, b long")
 
 
-def _compare(percent: int, coordinates: int, most: int):
-    """For rows sorted by block: pairs of a queried row and a member of another component that can be links.
+def _sets(width: int):
+    """Adds each text's distinct shingles, as sorted 32-bit hashes, and their number before hashing to 32 bits."""
 
-    A queried row and another component give at most `most` pairs in a block, the likeliest first; more tells that some were left for later.
-    """
-    at_least = max(0.0, percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / coordinates) ** 0.5) * coordinates
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            kept = batch.drop_columns(["text"])
+            for lo, hi in _text.chunks(texts):
+                hashes, at = _text.shingle_hashes(texts[lo:hi], width)
+                distinct = [np.unique(hashes[at[i] : at[i + 1]]) for i in range(hi - lo)]
+                sets = [(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in distinct]
+                yield pa.RecordBatch.from_arrays([*kept.slice(lo, hi - lo).columns, pa.array(map(len, distinct), pa.int64()), pa.array(sets, pa.binary())], [*kept.schema.names, "n", "shingles"])
 
-    def of_block(rows: dict[str, np.ndarray]) -> list[tuple[int, int, bool]]:
+    return run
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = COLUMNS) -> np.ndarray:
+    """How many elements each set of left shares with each of right, by products of incidence matrices over `columns` elements at a time."""
+    flat = [np.concatenate(x) if x else np.zeros(0, np.uint32) for x in (left, right)]
+    owner = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    both = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, len(both), columns):
+        part = both[lo : lo + columns]
+        sides = []
+        for values, rows, n in ((flat[0], owner[0], len(left)), (flat[1], owner[1], len(right))):
+            column = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[column] == values
+            matrix = np.zeros((n, len(part)), np.float32)
+            matrix[rows[hit], column[hit]] = 1
+            sides.append(matrix)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _block_links(percent: int):
+    """For rows sorted by block: for each asking document one link to each other component in which it has any."""
+
+    def of_block(rows: list[tuple]) -> list[tuple[int, int]]:
+        asking, asked = [r for r in rows if r[3]], [r for r in rows if not r[3]]
+        if not asking or not asked:
+            return []
+        sets = [[np.frombuffer(r[6], np.uint32) for r in side] for side in (asking, asked)]
+        common = shared_counts(*sets)
+        sizes = [np.array([r[5] for r in side], np.int64) for side in (asking, asked)]
+        comp = [np.array([r[4] for r in side], np.int64) for side in (asking, asked)]
+        near = (100 * common >= percent * (sizes[0][:, None] + sizes[1] - common)) & (comp[0][:, None] != comp[1])
         out = []
-        asked = np.flatnonzero(rows["asks"])
-        member = np.flatnonzero(~rows["asks"])
-        sketch, ids, comp, size = rows["sketch"], rows["id"], rows["comp"], rows["n"]
-        for i in asked:
-            ok = member[(comp[member] != comp[i]) & (100 * np.minimum(size[member], size[i]) >= percent * np.maximum(size[member], size[i]))]
-            if not len(ok):
-                continue
-            same = (sketch[ok] == sketch[i]).sum(axis=1)
-            ok, same = ok[same >= at_least], same[same >= at_least]
-            order = np.lexsort((ids[ok], -same))
-            seen: dict[int, int] = {}
-            for j in ok[order]:
-                seen[comp[j]] = seen.get(comp[j], 0) + 1
-                if seen[comp[j]] <= most:
-                    out.append((ids[i], ids[j], False))
-                elif seen[comp[j]] == most + 1:
-                    out.append((ids[i], ids[j], True))
+        for i in np.flatnonzero(near.any(axis=1)):
+            found = np.flatnonzero(near[i])
+            _, first = np.unique(comp[1][found], return_index=True)
+            out += [(asking[i][2], asked[j][2]) for j in found[first]]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-            out = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in ("bucket", "xb", "yb", "id", "comp", "n", "asks")}
-            raw = b"".join(batch.column("sketch").to_pylist())
-            out["asks"] = out["asks"].astype(bool)
-            out["sketch"] = np.frombuffer(raw, np.uint8).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, coordinates), np.uint8)
-            return out
-
-        held: dict[str, np.ndarray] | None = None
-
-        def emit(found: list[tuple[int, int, bool]]) -> pa.RecordBatch:
-            a, b, more = zip(*found, strict=True) if found else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], ["a", "b", "more"])
-
+        held: list[tuple] = []
+        now = None
         for batch in batches:
-            rows = columns(batch)
-            if held is not None:
-                rows = {k: np.concatenate((held[k], rows[k])) for k in rows}
-            if not len(rows["id"]):
-                continue
-            key = np.flatnonzero((np.diff(rows["bucket"]) != 0) | (np.diff(rows["xb"]) != 0) | (np.diff(rows["yb"]) != 0)) + 1
-            bounds = np.concatenate(([0], key))
             found = []
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                found += of_block({k: v[lo:hi] for k, v in rows.items()})
-            held = {k: v[bounds[-1] :] for k, v in rows.items()}
-            if found:
-                yield emit(found)
-        if held is not None:
-            yield emit(of_block(held))
+            for row in zip(*(batch.column(c).to_pylist() for c in ("unit", "block", "id", "asks", "comp", "n", "shingles")), strict=True):
+                if row[:2] != now:
+                    found += of_block(held)
+                    held, now = [], row[:2]
+                held.append(row)
+            yield _pairs_batch(found)
+        yield _pairs_batch(of_block(held))
 
     return run
 
 
-def _open_blocks(members: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components, dealt to blocks of pairs that are yet to be compared.
+def _pairs_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _open_units(members: DataFrame, groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """(unit, id, comp, asks, asked_blocks, asking_blocks) of the documents whose unit holds several components.
 
-    Rows that ask are outside the component of the bucket's least id; they meet all members. A bucket
-    of two has been verified by its least id already.
+    A unit is a group of documents that buckets connect, each document in one; a group of more than
+    GROUP documents is looked at bucket by bucket instead. All documents outside the unit's largest
+    component ask; together they meet every pair of two components.
     """
-    comp = members.join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    stats = comp.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("id", "comp")).alias("first")).where("m > 2 and lo < hi").select("bucket", "m", F.col("first.id").alias("first_id"), F.col("first.comp").alias("first_comp"))
-    rows = comp.join(stats, "bucket").withColumn("asks", F.expr("comp != first_comp"))
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    asking = rows.where("asks").select("bucket", F.col("own").alias("xb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("yb"), "id", "comp", F.lit(1).alias("asks"))
-    asked = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("xb"), F.col("own").alias("yb"), "id", "comp", F.lit(0).alias("asks"))
-    return asking.unionByName(asked).join(signed.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"), "id")
+    sized = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    grouped = groups.join(sized, "component").withColumnRenamed("component", "unit")
+    small = grouped.where(f"size <= {GROUP}").select("unit", "id")
+    large = members.join(grouped.where(f"size > {GROUP}").select("id"), "id", "left_semi").select(F.col("bucket").alias("unit"), "id")
+    rows = small.unionByName(large).join(labels, "id", "left").select("unit", "id", F.coalesce("component", "id").alias("comp"))
+    counts = rows.groupBy("unit", "comp").agg(F.count(F.lit(1)).alias("n"))
+    stats = counts.groupBy("unit").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top")).where(F.col("all") > F.col("top.n"))
+    stats = stats.select("unit", F.col("top.comp").alias("top"), F.ceil(F.col("all") / BLOCK).cast("int").alias("asked_blocks"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("asking_blocks"))
+    return rows.join(stats, "unit").withColumn("asks", F.expr("comp != top")).drop("top")
+
+
+def _blocks(units: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """The documents of open units with their shingles, dealt to blocks of askers and asked."""
+    with_text = units.join(texts.withColumnRenamed("doc_id", "id"), "id").select("unit", "id", "comp", "asks", "asked_blocks", "asking_blocks", "text")
+    kinds = ", ".join(f"{n} {t}" for n, t in with_text.dtypes if n != "text")
+    rows = with_text.mapInArrow(_sets(width), f"{kinds}, n long, shingles binary")
+    asked_own, asking_own = (F.pmod(F.xxhash64("id"), F.col(c)).cast("int") for c in ("asked_blocks", "asking_blocks"))
+    as_asked = F.transform(F.sequence(F.lit(0), F.col("asking_blocks") - 1), lambda x: F.struct((x * F.col("asked_blocks") + asked_own).alias("block"), F.lit(False).alias("asks")))
+    as_asking = F.transform(F.sequence(F.lit(0), F.col("asked_blocks") - 1), lambda y: F.struct((asking_own * F.col("asked_blocks") + y).alias("block"), F.lit(True).alias("asks")))
+    places = F.when(F.col("asks"), F.concat(as_asked, as_asking)).otherwise(as_asked)
+    return rows.withColumn("place", F.explode(places)).select("unit", "place.block", "id", "place.asks", "comp", "n", "shingles")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -238,25 +261,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     needed = members.select(F.col("id").alias("doc_id")).distinct()
     texts = work.write(docs.join(needed, "doc_id", "left_semi"))
     links = work.write(_links(pairs, texts, width, percent))
-    verified, most = pairs, 4
-    while True:
-        labels = work.write(components(links, work))
-        blocks = _open_blocks(members, labels, signed.where("doc_id is not null"))
-        dealt = blocks.repartition("bucket", "xb", "yb").sortWithinPartitions("bucket", "xb", "yb")
-        found = dealt.mapInArrow(_compare(percent, bands * rows, most), "a long, b long, more boolean")
-        found = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "more").groupBy("a", "b").agg(F.max("more").alias("more"))
-        found = work.write(found.join(verified.withColumn("done", F.lit(True)), ["a", "b"], "left"))
-        fresh, more = found.agg(F.count_if(F.col("done").isNull()), F.max("more")).first()
-        if not fresh and not more:
-            break
-        found = found.where("done is null")
-        new_links = work.write(_links(found, texts, width, percent))
-        links = work.write(links.unionByName(new_links))
-        verified = work.write(verified.unionByName(found.select("a", "b")))
-        most *= 8 if more else 1
-    work.drop(texts, shared)
-    edges = links.unionByName(copies)
-    final = components(edges, work) if copies.take(1) else labels
+    labels = work.write(components(links, work))
+    groups = work.write(components(shared.where("id != first_id").select(F.col("id").alias("a"), F.col("first_id").alias("b")), work))
+    blocks = _blocks(_open_units(members, groups, labels), texts, width)
+    found = blocks.repartition("unit", "block").sortWithinPartitions("unit", "block").mapInArrow(_block_links(percent), "a long, b long")
+    found = work.write(found.distinct())
+    more = work.write(_links(found, texts, width, percent))
+    final = work.write(components(links.unionByName(more).unionByName(copies), work))
+    work.drop(texts, shared, groups, labels, found, pairs, links, more, copies)
     out = signed.select("doc_id", "n_shingles").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     own = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each component of near_duplicates(): that with the least doc_id, with all its columns.
+
+    Rows that repeat a doc_id are one document; one of them stays. Rows with a null doc_id stay as they are.
+    """
+    work = Workspace(docs.sparkSession, "deduplicate")
+    found = work.write(near_duplicates(docs, width, percent))
+    left = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    repeated = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.take(1):
+        return left.select(docs.columns)
+    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(repeated, "doc_id", "left_anti").unionByName(once).select(docs.columns)

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm import _text
-from ridgeline.llm.bpe import _LETTER, _OTHER, _SPACE, _classes
-from ridgeline.llm.labels import SAMPLE_CHARS, SAMPLE_ROWS, sample, share, sigmoid, temperature
+from ridgeline.llm.bpe import _LETTER, _SPACE, _classes
+from ridgeline.llm.labels import SAMPLE_CHARS, SAMPLE_ROWS, keep, sample, share, sigmoid, temperature
 
 #: Hash buckets of words, dimensions and non-zero places of an index vector, words to each side that count as context, hidden units.
 BUCKETS, DIMENSIONS, NONZERO, WINDOW, HIDDEN = 1 << 16, 96, 4, 2, 32
@@ -127,7 +127,7 @@ class QualityModel:
 
 
 def train(texts: Sequence[str], y: np.ndarray, base: float, seed: int = 11, epochs: int = 60) -> QualityModel:
-    """A model from whole texts; every fifth one only calibrates. base: the share of label 1 among all rows."""
+    """A model from whole texts; of 1000 or more every fifth one only calibrates. base: the share of label 1 among all rows."""
     rng = np.random.default_rng(seed)
     parts = [tokens(texts[lo:hi]) for lo, hi in _text.chunks(texts)]
     found = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
@@ -142,7 +142,7 @@ def train(texts: Sequence[str], y: np.ndarray, base: float, seed: int = 11, epoc
     w2, b2 = rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)
     params = [w1, b1, w2, b2]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    calibrates = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
+    calibrates = np.arange(len(y)) % 5 == 4 if len(y) >= 1000 else np.zeros(len(y), bool)
     rows, step = np.flatnonzero(~calibrates), 0
     for _ in range(epochs):
         rng.shuffle(rows)
@@ -184,4 +184,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
-_ = _OTHER
+def reject(docs: DataFrame, model: QualityModel, least: float = 0.3) -> DataFrame:
+    """docs without the rows whose score is below `least`."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return keep(docs, lambda texts: held.value.score(texts), lambda s: s >= least)

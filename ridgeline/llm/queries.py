@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ridgeline.llm import bpe, chat, media, minhash, packing, secrets, topk, warc
+from ridgeline.llm import bpe, chat, labels, media, minhash, packing, quality, secrets, topk, toxicity, warc
 from ridgeline.session import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,25 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _judged(scored: DataFrame, parts: int, held: int, least: float) -> DataFrame:
+    out = F.coalesce(labels.fold("doc_id", parts) == held, F.lit(False))
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; every fifth doc_id by crc32 is never learned from."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), labels.fold("doc_id", 5) != 0)
+    return _judged(quality.score(docs, model), 5, 0, 0.3)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents; every third doc_id by crc32 is never learned from."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), labels.fold("doc_id", 3) != 1)
+    return _judged(toxicity.tag(docs, model), 3, 1, 0.7)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents and their decoded texts, as counts and digests."""
     return bpe.digests(_table(spark, sf_dir, "documents"))
@@ -61,7 +81,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_minhash, op2_warc, op5_bpe, op6_secrets, op7_packing, op8_chat, op9_topk, op10_media)
+    own = (op1_minhash, op2_warc, op3_quality, op4_toxicity, op5_bpe, op6_secrets, op7_packing, op8_chat, op9_topk, op10_media)
     return {f.__name__: f for f in own}
 
 

@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm import _text
 from ridgeline.llm.bpe import _LETTER
-from ridgeline.llm.labels import SAMPLE_CHARS, sample, share, sigmoid
+from ridgeline.llm.labels import SAMPLE_CHARS, keep, sample, share, sigmoid
 from ridgeline.llm.quality import tables
 
 #: Labelled documents that are learned from at most, hash buckets of features, and lengths of a word's beginnings (0: the word).
 SAMPLE_ROWS, BUCKETS, PREFIXES = 5000, 1 << 18, (0, 4, 5, 7)
 #: Natural-log odds that an association with toxic documents is no chance, and how many times likelier it must make them.
-EVIDENCE, RATIO = 18.0, 4.0
+EVIDENCE, RATIO = 12.0, 4.0
 
 
 def words(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -36,7 +36,7 @@ def words(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     features = np.empty((len(starts), len(PREFIXES)), np.int32)
     for k, size in enumerate(PREFIXES):
         stop = np.minimum(ends, starts + size) if size else ends
-        hashes = hasher.of(starts, stop) + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+        hashes = hasher.of(starts, stop) ^ np.uint64(k + 1)
         features[:, k] = (_text.mix(hashes) >> np.uint64(46)).astype(np.int32)
     return features, starts, ends, np.searchsorted(starts, at)
 
@@ -129,6 +129,14 @@ class ToxicityModel:
         emission = self.weights[features].sum(axis=1, dtype=np.float64) + self.bias
         return Chain(self.start, self.transitions).marginals(emission, at)
 
+    def score(self, texts: Sequence[str]) -> np.ndarray:
+        """Probabilities of label 1."""
+        out = [np.zeros(0)]
+        for lo, hi in _text.chunks(texts):
+            features, _, _, at = words(texts[lo:hi])
+            out.append(self.document_score(self.marginals(features, at), at))
+        return np.concatenate(out)
+
     def document_score(self, p: np.ndarray, at: np.ndarray) -> np.ndarray:
         z = (summary(p, at) - self.mean) / self.scale
         return sigmoid(z @ self.document[:-1] + self.document[-1])
@@ -143,7 +151,7 @@ def summary(p: np.ndarray, at: np.ndarray) -> np.ndarray:
         total[full] = np.add.reduceat(p, at[:-1][full])
         peak[full] = np.maximum.reduceat(p, at[:-1][full])
     peak = np.clip(peak, 1e-4, 1 - 1e-4)
-    return np.stack([np.log(total + 0.01), np.log(peak / (1 - peak)), np.log((total + 0.01) / (sizes + 1))], axis=1)
+    return np.stack([np.log(total + 0.01), np.log(peak / (1 - peak)), np.log1p(100 * total / (sizes + 20))], axis=1)
 
 
 def toxic_tokens(features: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -164,13 +172,13 @@ def toxic_tokens(features: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndar
 
 
 def train(texts: Sequence[str], y: np.ndarray, base: float, epochs: int = 12, seed: int = 5) -> ToxicityModel:
-    """A model from whole texts; every fifth one only calibrates. base: the share of label 1 among all rows."""
+    """A model from whole texts; of 1000 or more every fifth one only calibrates. base: the share of label 1 among all rows."""
     if len(y) == 0:
         return ToxicityModel(np.zeros(BUCKETS, np.float32), -4.0, -4.0, np.zeros((2, 2)), np.array([0.0, 0.0, 0.0, -2.0]), np.zeros(3), np.ones(3))
     parts = [words(texts[lo:hi]) for lo, hi in _text.chunks(texts)]
     features = np.concatenate([p[0] for p in parts])
     at = np.append(0, np.cumsum(np.concatenate([np.diff(p[3]) for p in parts])))
-    held = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
+    held = np.arange(len(y)) % 5 == 4 if len(y) >= 1000 else np.zeros(len(y), bool)
     gold = toxic_tokens(features[np.repeat(~held, np.diff(at))], np.append(0, np.cumsum(np.diff(at)[~held])), y[~held])
     rng = np.random.default_rng(seed)
     learned = np.flatnonzero(~held)
@@ -265,3 +273,9 @@ def tag(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> DataFrame:
 
     pair = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return pair.mapInArrow(run, "doc_id long, score double, spans array<struct<start:long,end:long,probability:double>>")
+
+
+def reject(docs: DataFrame, model: ToxicityModel, most: float = 0.7) -> DataFrame:
+    """docs without the rows whose score is `most` or more."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return keep(docs, lambda texts: held.value.score(texts), lambda s: s < most)
