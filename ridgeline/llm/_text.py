@@ -95,6 +95,24 @@ def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return SpanHasher(points).of(starts, ends)
 
 
+#: Classes of code points in classes().
+OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
+_TABLES: list[np.ndarray] = []
+
+
+def classes() -> tuple[np.ndarray, np.ndarray]:
+    """The class and the lower case of every code point, by Python's Unicode tables, made once in each process."""
+    if not _TABLES:
+        kind, lower = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
+        for c in range(0x40000):
+            char = chr(c)
+            kind[c] = LETTER if char.isalpha() else NUMBER if char.isnumeric() else SPACE if char.isspace() else OTHER
+            if len(low := char.lower()) == 1:
+                lower[c] = ord(low)
+        _TABLES.extend((kind, lower))
+    return _TABLES[0], _TABLES[1]
+
+
 def white_space(points: np.ndarray) -> np.ndarray:
     """The blank and the controls from tab to carriage return."""
     return (points == 32) | ((points >= 9) & (points <= 13))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Labelled rows and code points that a classifier is fitted on at most.
-SAMPLE_ROWS, SAMPLE_CHARS = 6000, 20_000_000
+SAMPLE_ROWS, SAMPLE_CHARS = 4000, 12_000_000
 
 
 def fold(key: str | Column, parts: int) -> Column:

@@ -16,42 +16,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm import _text
-from ridgeline.llm.bpe import _LETTER, _SPACE, _classes
 from ridgeline.llm.labels import SAMPLE_CHARS, SAMPLE_ROWS, keep, sample, share, sigmoid, temperature
 
 #: Hash buckets of words, dimensions and non-zero places of an index vector, words to each side that count as context, hidden units.
-BUCKETS, DIMENSIONS, NONZERO, WINDOW, HIDDEN = 1 << 16, 96, 4, 2, 32
+BUCKETS, DIMENSIONS, NONZERO, WINDOW, HIDDEN = 1 << 15, 64, 4, 2, 32
 #: Buckets of the marks that a word is in capitals, or repeats the one before it.
 _CAPITALS, _REPEATED = 0, 1
 
-_TABLES: dict[str, np.ndarray] = {}
-
-
-def tables() -> tuple[np.ndarray, np.ndarray]:
-    """The class and the lower case of every code point, made once in each process."""
-    if not _TABLES:
-        _TABLES["class"] = _classes()
-        lower = np.arange(0x110000, dtype=np.uint32)
-        for c in range(0x2000):
-            if len(low := chr(c).lower()) == 1:
-                lower[c] = ord(low)
-        _TABLES["lower"] = lower
-    return _TABLES["class"], _TABLES["lower"]
-
-
 def tokens(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of the words and symbol runs of all texts, marks among them, and where each text's start."""
     points, at = _text.flatten(texts)
-    kinds, lower = tables()
+    kinds, lower = _text.classes()
     kind = kinds[points]
     change = np.append(True, kind[1:] != kind[:-1])
     bounds = np.flatnonzero(change)
-    kept = kind[bounds] != _SPACE
+    kept = kind[bounds] != _text.SPACE
     starts, ends = bounds[kept], np.append(bounds[1:], len(points))[kept]
     low = lower[points]
     hashes = _text.span_hashes(low, starts, ends)
     bucket = ((hashes >> np.uint64(20)) % np.uint64(BUCKETS - 2)).astype(np.int64) + 2
-    letters = kind[starts] == _LETTER
+    letters = kind[starts] == _text.LETTER
     raised = np.append(0, np.cumsum(low != points))
     capital = letters & (ends - starts > 1) & (raised[ends] - raised[starts] == ends - starts)
     doc = np.searchsorted(at, starts, side="right") - 1
@@ -91,15 +75,19 @@ def word_vectors(found: np.ndarray, at: np.ndarray) -> np.ndarray:
     for x in (vectors, own):
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     vectors += own
-    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    return (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def pooled(vectors: np.ndarray, found: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The mean vector of each text; zeros for a text without words."""
+def pooled(vectors: np.ndarray, found: np.ndarray, at: np.ndarray, most: int = 1 << 17) -> np.ndarray:
+    """The mean vector of each text; zeros for a text without words. Texts are taken together up to `most` words, a longer one alone."""
     out = np.zeros((len(at) - 1, vectors.shape[1]), vectors.dtype)
-    full = np.flatnonzero(np.diff(at))
-    if len(full):
-        out[full] = np.add.reduceat(vectors[found], at[:-1][full], axis=0)
+    lo = 0
+    while lo < len(at) - 1:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, side="right")) - 1)
+        full = lo + np.flatnonzero(np.diff(at[lo : hi + 1]))
+        if len(full):
+            out[full] = np.add.reduceat(vectors[found[at[lo] : at[hi]]], at[full] - at[lo], axis=0)
+        lo = hi
     return out / np.maximum(np.diff(at), 1)[:, None]
 
 
@@ -133,7 +121,7 @@ def train(texts: Sequence[str], y: np.ndarray, base: float, seed: int = 11, epoc
     found = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
     at = np.append(0, np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))) if parts else np.zeros(1, np.int64)
     vectors = word_vectors(found, at)
-    x = pooled(vectors, found, at)
+    x = pooled(vectors, found, at).astype(np.float64)
     if len(y) == 0:
         x, y = np.zeros((1, DIMENSIONS)), np.ones(1, np.int64)
     mean, std = x.mean(axis=0), x.std(axis=0) + 1e-3
@@ -174,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, seen: Column, label: str = "quality"
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """(doc_id, score) of whole texts, a row for each row of docs. A null text counts as empty; only the text goes into a score."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # its size is set by BUCKETS and HIDDEN: 8 MB
+    held = docs.sparkSession.sparkContext.broadcast(model)  # its size is set by BUCKETS and HIDDEN: 4 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

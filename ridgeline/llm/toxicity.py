@@ -17,9 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm import _text
-from ridgeline.llm.bpe import _LETTER
 from ridgeline.llm.labels import SAMPLE_CHARS, keep, sample, share, sigmoid
-from ridgeline.llm.quality import tables
 
 #: Labelled documents that are learned from at most, hash buckets of features, and lengths of a word's beginnings (0: the word).
 SAMPLE_ROWS, BUCKETS, PREFIXES = 5000, 1 << 18, (0, 4, 5, 7)
@@ -30,8 +28,8 @@ EVIDENCE, RATIO = 12.0, 4.0
 def words(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Features (a row a word), starts and ends of the words of all texts in the flat array, and where each text's words start."""
     points, at = _text.flatten(texts)
-    kinds, lower = tables()
-    starts, ends = _text.runs(kinds[points] == _LETTER)
+    kinds, lower = _text.classes()
+    starts, ends = _text.runs(kinds[points] == _text.LETTER)
     hasher = _text.SpanHasher(lower[points])
     features = np.empty((len(starts), len(PREFIXES)), np.int32)
     for k, size in enumerate(PREFIXES):
