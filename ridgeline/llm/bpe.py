@@ -19,10 +19,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex
+from tokenizers.normalizers import NFC, Lowercase, Sequence as Normalizers
+from tokenizers.pre_tokenizers import Split
 
 from ridgeline.llm import _text
 
-_LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 0
+_LETTER, _NUMBER, _SPACE, _LAST = 1, 2, 3, 0x40000
 #: Words kept between batches; beyond it the table starts anew.
 KEEP_WORDS = 400_000
 _CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -37,13 +40,21 @@ def default_vocabulary() -> str:
 
 
 def _classes() -> np.ndarray:
-    """The class of every code point: letter, number, white space or other."""
+    """The class of every code point, letter, number, white space or other, by the Unicode tables of the tokenizers library."""
     out = np.zeros(0x110000, np.uint8)
-    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for pattern, kind in ((r"\p{L}+", _LETTER), (r"\p{N}+", _NUMBER), (r"\p{White_Space}+", _SPACE)):
-        for m in regex.finditer(pattern, everything):
-            points = np.frombuffer(m[0].encode("utf-32-le"), np.uint32)
-            out[points] = kind
+    points = np.r_[0:0xD800, 0xE000:_LAST]  # the planes beyond hold no letters, numbers or white space
+    everything = points.astype("<u4").tobytes().decode("utf-32-le")
+    for pattern, kind in ((r"\p{L}+", _LETTER), (r"\p{N}+", _NUMBER), (r"\s+", _SPACE)):
+        for _, (start, end) in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(everything):
+            out[points[start:end]] = kind
+    return out
+
+
+def _newer() -> np.ndarray:
+    """Whether a code point is unknown to Python's own Unicode tables, which may be older than the library's."""
+    category = unicodedata.category
+    out = np.zeros(0x110000, bool)
+    out[:_LAST] = np.fromiter((category(chr(c)) == "Cn" for c in range(_LAST)), bool, _LAST)
     return out
 
 
@@ -84,7 +95,8 @@ class WordBpe:
             self.tokens[i] = token
         self.decimal = [str(i) for i in range(len(self.tokens))]
         self.split_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
-        self.classes = _classes()
+        self.classes, self.newer = _classes(), _newer()
+        self.full_normaliser = Normalizers([NFC(), Lowercase()])
         self.keep_words = keep_words
         self._reset()
 
@@ -174,12 +186,12 @@ class WordBpe:
             if "<|" in text and self.split_special.search(text):
                 at = 0
                 for m in self.split_special.finditer(text):
-                    parts.append(self.normalise(text[at : m.start()]))
+                    parts.append(text[at : m.start()])
                     owner.append(i)
                     marks.append((len(parts), self.special[m[0]]))
                     at = m.end()
                 text = text[at:]
-            parts.append(self.normalise(text))
+            parts.append(text)
             owner.append(i)
         ids, counts = [], []
         for lo, hi in _text.chunks(parts):
@@ -200,7 +212,9 @@ class WordBpe:
         return flat, starts
 
     def _encode_parts(self, parts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        points, at = _text.flatten(parts)
+        points, at = _text.flatten([self.normalise(p) for p in parts])
+        if self.newer[points].any():
+            points, at = _text.flatten([self.full_normaliser.normalize_str(p) for p in parts])
         starts, ends = self._words(points)
         first_word = np.searchsorted(starts, at)
         hashes = _text.span_hashes(points, starts, ends)
