@@ -1 +1,5 @@
+"""Plans that combine operators, and the registered queries."""
 
+from ridgeline.plans import catalogue, systems
+
+__all__ = ["catalogue", "systems"]

@@ -107,6 +107,53 @@ def parse_netgen(text: str) -> Parsed:
     return points, [{2: "edge", 3: "triangle", 4: "tetrahedron"}[len(c)] for c in cells], cells
 
 
+def parse_fpma(text: str) -> tuple[np.ndarray, list[list[int]], list[list[int]]]:
+    """Points, faces (their points) and cells (their faces) of a polyhedral file; # starts a comment."""
+    words = iter(" ".join(line.partition("#")[0] for line in text.split("\n")).split())
+
+    def lists() -> list[list[int]]:
+        return [[int(next(words)) for _ in range(int(next(words)))] for _ in range(int(next(words)))]
+
+    points = np.array([float(next(words)) for _ in range(3 * int(next(words)))]).reshape(-1, 3)
+    return points, lists(), lists()
+
+
+def render_fpma(points: np.ndarray, faces: list[list[int]], cells: list[list[int]]) -> str:
+    out = [f"# {len(points)}: number of vertices", str(len(points)), " ".join(repr(float(x)) for x in points.ravel())]
+    for name, rows in (("faces", faces), ("cells", cells)):
+        out += [f"# {len(rows)}: number of {name}", str(len(rows)), *(" ".join(map(str, [len(r), *r])) for r in rows)]
+    return "\n".join(out) + "\n"
+
+
+def read_polyhedra(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Points (pid, x, y, z), face points (fid, loc, pid) and cell faces (cid, loc, fid) of one polyhedral file."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for content in pdf.content:
+                points, faces, cells = parse_fpma(bytes(content).decode())
+                rows.append((points[:, 0], points[:, 1], points[:, 2], faces, cells))
+            yield pd.DataFrame(rows, columns=["x", "y", "z", "faces", "cells"])
+
+    one = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "x array<double>, y array<double>, z array<double>, faces array<array<bigint>>, cells array<array<bigint>>")
+    points = one.select(F.posexplode(F.arrays_zip("x", "y", "z")).alias("pid", "p")).select(F.col("pid").cast("bigint").alias("pid"), "p.x", "p.y", "p.z")
+    nested = lambda column, outer, inner: one.select(F.posexplode(column).alias(outer, "all")).select(F.col(outer).cast("bigint").alias(outer), F.posexplode("all").alias("loc", inner))
+    return points, nested("faces", "fid", "pid"), nested("cells", "cid", "fid")
+
+
+def parse_vti(text: str) -> dict:
+    """Extent, origin, spacing, and named point and cell arrays of an XML image file."""
+    root = ElementTree.fromstring(text)
+    compressed, header = root.get("compressor") is not None, root.get("header_type", "UInt32")
+    image = root.find("./ImageData")
+    numbers = lambda name, kind: [kind(x) for x in image.get(name).split()]
+    out: dict = {"extent": numbers("WholeExtent", int), "origin": numbers("Origin", float), "spacing": numbers("Spacing", float)}
+    for side in ("PointData", "CellData"):
+        out[side] = {n.get("Name"): _array(n, compressed, header) for n in image.findall(f"./Piece/{side}/DataArray")}
+    return out
+
+
 PARSERS = {"vtk": parse_vtk, "vtu": parse_vtu, "ng": parse_netgen}
 
 
