@@ -1 +1 @@
-
+"""Reductions over streams of vector elements."""
