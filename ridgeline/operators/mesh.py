@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions import math as M
+from ridgeline.operators.graph import Graph
 from ridgeline.operators.scan import row_numbers
+from ridgeline.operators.sorting import numbered
 
 #: Faces of each shape as local points, outward where the shape's points are in the usual file order.
 FACES: dict[str, tuple[tuple[int, ...], ...]] = {
@@ -99,6 +101,42 @@ class Mesh:
         shoelace = F.aggregate(F.sequence(F.lit(0), F.size("xyz") - 1), F.lit(0.0), lambda acc, k: acc + F.element_at("xyz", k + 1)["x"] * F.element_at("xyz", (k + 1) % F.size("xyz") + 1)["y"] - F.element_at("xyz", (k + 1) % F.size("xyz") + 1)["x"] * F.element_at("xyz", k + 1)["y"])
         return at.select("cid", value.when(F.col("shape") == "polygon", F.abs(shoelace) / 2).alias("measure"))
 
+    def circumradii(self) -> DataFrame:
+        """(cid, radius) of the circles or spheres around edges, triangles and tetrahedra."""
+        at = self.with_coordinates()
+        p = lambda k: [F.element_at("xyz", k + 1)[c] for c in "xyz"]
+        side = lambda i, j: M.norm([b - a for a, b in zip(p(i), p(j), strict=True)])
+        triangle = side(0, 1) * side(1, 2) * side(2, 0) / (4 * M.triangle_area(p(0), p(1), p(2)))
+        # Of a tetrahedron: from the products of its opposite edges.
+        a, b, c = side(0, 1) * side(2, 3), side(0, 2) * side(1, 3), side(0, 3) * side(1, 2)
+        tetrahedron = F.sqrt((a + b + c) * (a + b - c) * (a - b + c) * (-a + b + c)) / (24 * tetrahedron_volume(p(0), p(1), p(2), p(3)))
+        return at.select("cid", F.when(F.col("shape") == "edge", side(0, 1) / 2).when(F.col("shape") == "triangle", triangle).when(F.col("shape") == "tetrahedron", tetrahedron).alias("radius"))
+
+    def outward_normals(self) -> DataFrame:
+        """(cid, loc, x, y, z): unit normals of the cells' faces that point away from the cells' centres; of the sides of flat cells in their z-plane."""
+        faces = self.cell_faces().select("cid", "loc", "points")
+        corners = faces.select("cid", "loc", F.size("points").alias("n"), F.posexplode("points").alias("k", "pid")).where("k < 3").join(self.points, "pid")
+        pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+        rows = corners.groupBy("cid", "loc", "n").agg(*(pick(k, c).alias(f"{c}{k}") for k in range(3) for c in "xyz")).join(self.centers().select("cid", *(F.col(c).alias(f"{c}m") for c in "xyz")), "cid")
+        u = [F.col(f"{c}1") - F.col(f"{c}0") for c in "xyz"]
+        v = [F.col(f"{c}2") - F.col(f"{c}0") for c in "xyz"]
+        solid = M.cross(u, v)
+        flat = [u[1], -u[0], F.lit(0.0)]
+        n = [F.when(F.col("n") == 2, f).otherwise(s) for f, s in zip(flat, solid, strict=True)]
+        away = M.dot(n, [F.col(f"{c}0") - F.col(f"{c}m") for c in "xyz"])
+        size = M.norm(n) * F.when(away < 0, -1.0).otherwise(1.0)
+        return rows.select("cid", "loc", *((x / size).alias(c) for x, c in zip(n, "xyz", strict=True)))
+
+    def planar_faces(self, tolerance: float = 1e-9) -> DataFrame:
+        """(cid, loc, planar): whether all points of a face lie in the plane of its first three."""
+        corners = self.cell_faces().select("cid", "loc", F.posexplode("points").alias("k", "pid")).join(self.points, "pid")
+        lists = corners.groupBy("cid", "loc").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y", "z"))).alias("p"))
+        at = lambda k: [F.try_element_at("p", F.lit(k + 1))[c] for c in "xyz"]
+        minus = lambda a, b: [x - y for x, y in zip(a, b, strict=True)]
+        normal = M.cross(minus(at(1), at(0)), minus(at(2), at(0)))
+        off = F.exists("p", lambda q: F.abs(M.dot(normal, minus([q[c] for c in "xyz"], at(0)))) > tolerance)
+        return lists.select("cid", "loc", (~F.coalesce(off, F.lit(False))).alias("planar"))
+
     def simplices(self) -> Mesh:
         """The mesh of the simplices that the cells are cut into, numbered by cell and part."""
         parts = self.cells.select("cid", F.posexplode(_by_shape({k: v for k, v in SIMPLICES.items()}, F.col("points"))).alias("loc", "points")).withColumn("place", F.col("cid") * 64 + F.col("loc"))
@@ -150,3 +188,18 @@ def hilbert_key(x: Column, y: Column, bits: int = 16) -> Column:
         return F.struct(nx.alias("x"), ny.alias("y"), d.alias("d"))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), start, step, lambda acc: acc["d"])
+
+
+def cuthill_mckee(neighbours: DataFrame, cells: DataFrame) -> DataFrame:
+    """(old, new): the reverse Cuthill-McKee order of cells (cid) by their dual graph (cid, neighbour).
+
+    From the cell of least degree of each part, cells by falling (part, level, degree, id).
+    """
+    arcs = neighbours.select(F.col("cid").alias("src"), F.col("neighbour").alias("dst"))
+    g = Graph.of(arcs, cells.select(F.col("cid").alias("v")), directed=True)
+    degree = g.degrees()
+    parts = g.components().join(degree, "v")
+    starts = [r["v"] for r in parts.groupBy("component").agg(F.min(F.struct("degree", "v")).alias("s")).select("s.v").collect()]  # one cell a connected part
+    level = g.distances(starts, False).withColumnRenamed("dist", "level")
+    rows = parts.join(level, "v")
+    return numbered(rows, "new", F.desc("component"), F.desc("level"), F.desc("degree"), F.desc("v")).select(F.col("v").alias("old"), "new")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.functions import functors
+from ridgeline.functions import math as M
 from ridgeline.functions.functors import Functor
 
 
@@ -110,6 +111,25 @@ class NDArray:
         return NDArray(moved.groupBy(*self.axes).agg(F.sum("v").alias("v")), self.sizes, self.order)
 
 
+#: Element-wise operations by name: of two arrays, and of one.
+BINARY = {k: M.BINARY[n] for k, n in {"add": "plus", "subtract": "minus", "multiply": "times", "divide": "divide", "maximum": "maximum", "minimum": "minimum", "pow": "pow"}.items()}
+UNARY = {k: M.UNARY[n] for k, n in {"absolute": "abs", "sign": "sign", "sqrt": "sqrt", "square": "sqr"}.items()}
+
+
+def apply(name: str, a: NDArray, b: NDArray | None = None) -> NDArray:
+    """A named element-wise operation."""
+    if b is None:
+        return a.for_all(lambda *x: UNARY[name](x[-1]))
+    return a.combine(b, BINARY[name])
+
+
+def life_step(board: NDArray) -> NDArray:
+    """One generation of the game of life over a board of 0 and 1; what lies outside is dead."""
+    near = board.stencil({(i, j): 1.0 for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j})
+    alive = lambda v, n: F.when((n == 3) | ((v == 1) & (n == 2)), 1).otherwise(0)
+    return board.combine(near, alive)
+
+
 def split_range(n: Column | int, parts: int, part: Column) -> tuple[Column, Column]:
     """Begin and end of a part of range(n): the first n mod parts parts have one more."""
     n = F.lit(n) if isinstance(n, int) else n

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions import functors
 from ridgeline.functions.functors import Functor
 from ridgeline.operators.scan import row_numbers
+from ridgeline.session import Workspace
 
 Range = tuple[int | None, int | None]
 ALL: Range = (None, None)
@@ -91,6 +92,20 @@ def reduce_with_argument(vector: DataFrame, kind: str = "max", fetch: Callable[[
     return vector.where(within(between)).agg(functors.argument(value, F.col("i"), kind).alias("r")).select("r.value", "r.index")
 
 
+def evaluate_and_reduce(f: Callable[..., Column], functor: str | Functor, *vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The vector of f of the vectors' elements, and the row with its reduction; the vector is written once and read for both."""
+    made = Workspace(vectors[0].sparkSession, "evaluate").write(evaluate(f, *vectors))
+    return made, reduce(made, functor)
+
+
+def add_and_reduce(target: DataFrame, f: Callable[..., Column], functor: str | Functor, *vectors: DataFrame, absolute: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The target with f of the vectors' elements added, and the row with the reduction of f (or of its absolute value)."""
+    change = evaluate(f, *vectors)
+    both = Workspace(target.sparkSession, "add").write(target.join(change.withColumnRenamed("v", "change"), "i"))
+    size = F.abs("change") if absolute else F.col("change")
+    return both.select("i", (F.col("v") + F.col("change")).alias("v")), reduce(both.select("i", size.alias("v")), functor)
+
+
 def lp_norm(value: Column, p: float) -> Column:
     """The aggregate p-norm; infinity gives the largest absolute value. Over nothing it is 0."""
     if p == float("inf"):

@@ -12,8 +12,8 @@ from ridgeline.operators import scan as S
 from ridgeline.operators import sorting, vector
 from ridgeline.operators.graph import Graph
 from ridgeline.operators.matrix import Matrix, determinant, inverse, solve
-from ridgeline.operators.mesh import Mesh, deduplicated, hilbert_key
-from ridgeline.operators.ndarray import NDArray, best_decomposition
+from ridgeline.operators.mesh import Mesh, cuthill_mckee, deduplicated, hilbert_key
+from ridgeline.operators.ndarray import NDArray, apply, best_decomposition, life_step
 from ridgeline.operators.segments import Scope, Segments
 from ridgeline.plans import ode, solvers
 
@@ -237,6 +237,39 @@ def test_mesh(spark):
     assert abs(cube.simplices().measures().agg(F.sum("measure")).first()[0] - 1) < 1e-12
 
 
+def test_cell_geometry(spark):
+    points = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 0.0, 1.0, 0.0), (3, 0.0, 0.0, 1.0)], "pid bigint, x double, y double, z double")
+    tetra = Mesh(points, spark.createDataFrame([(0, "tetrahedron", [0, 1, 2, 3])], "cid bigint, shape string, points array<bigint>"))
+    assert abs(tetra.circumradii().first()["radius"] - math.sqrt(3) / 2) < 1e-12
+    normals = sorted(tuple(round(r[c], 6) + 0.0 for c in "xyz") for r in tetra.outward_normals().collect())
+    third = round(1 / math.sqrt(3), 6)
+    assert normals == [(-1, 0, 0), (0, -1, 0), (0, 0, -1), (third, third, third)]
+    assert all(r["planar"] for r in tetra.planar_faces().collect())
+
+
+def test_cell_order(spark):
+    chain = [(k, k + 1) for k in (3, 0, 4, 1, 2)]
+    arcs = spark.createDataFrame(chain + [(b, a) for a, b in chain], "cid bigint, neighbour bigint")
+    order = cuthill_mckee(arcs, spark.range(6).select(F.col("id").alias("cid")))
+    assert sorted((r["new"], r["old"]) for r in order.collect()) in ([(k, 5 - k) for k in range(6)], [(k, k) for k in range(6)])
+
+
+def test_life_and_named_operations(spark):
+    blinker = NDArray.of(spark, (5, 5), lambda i, j: F.when((i == 2) & j.between(1, 3), 1).otherwise(0))
+    alive = {(r["i0"], r["i1"]) for r in life_step(blinker).elements.where("v = 1").collect()}
+    assert alive == {(1, 2), (2, 2), (3, 2)}
+    a = NDArray.of(spark, (2, 2), lambda i, j: (i * 2 + j).cast("double"))
+    assert sorted(r["v"] for r in apply("multiply", a, apply("square", a)).elements.collect()) == [0, 1, 8, 27]
+
+
+def test_fused_reductions(spark):
+    a, b = vec(spark, [1.0, -2.0, 3.0]), vec(spark, [1.0, 1.0, 1.0])
+    made, total = vector.evaluate_and_reduce(lambda x, y: x + y, "plus", a, b)
+    assert values(made) == [2, -1, 4] and one(total) == 5
+    target, size = vector.add_and_reduce(b, lambda x: 2 * x, "plus", a, absolute=True)
+    assert values(target) == [3, -3, 7] and one(size) == 12
+
+
 def test_hilbert_curve(spark):
     rows = spark.range(64).select((F.col("id") % 8).alias("x"), F.call_function("div", F.col("id"), F.lit(8)).alias("y"))
     path = [(r["x"], r["y"]) for r in rows.withColumn("k", hilbert_key(F.col("x"), F.col("y"), 3)).orderBy("k").collect()]
