@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import functors
@@ -587,19 +587,13 @@ def graph_shortest_paths(spark: SparkSession, d: str) -> DataFrame:
     return part_graph(spark, d, True).shortest_paths(3)
 
 
-def user_graph(spark: SparkSession, d: str) -> Graph:
-    """Users, tied where one's event follows another's in time at a distance of a multiple of 40 events."""
-    rows = table(spark, d, "events").where("event_id % 40 < 2").select(F.call_function("div", F.col("event_id"), F.lit(40)).alias("k"), (F.col("event_id") % 40).alias("r"), "user_id")
-    pairs = rows.groupBy("k").agg(F.max(F.when(F.col("r") == 0, F.col("user_id"))).alias("src"), F.max(F.when(F.col("r") == 1, F.col("user_id"))).alias("dst")).where("src is not null and dst is not null and src != dst")
-    return Graph.of(pairs.select("src", "dst"), table(spark, d, "events").select(F.col("user_id").alias("v")).distinct(), False)
-
-
-_USER_EDGES = "(SELECT max(user_id) FILTER (event_id % 40 = 0) AS src, max(user_id) FILTER (event_id % 40 = 1) AS dst FROM events WHERE event_id % 40 < 2 GROUP BY event_id // 40 HAVING src IS NOT NULL AND dst IS NOT NULL AND src <> dst)"
-
-
-@query(f"WITH RECURSIVE arcs AS MATERIALIZED (SELECT src, dst FROM {_USER_EDGES} UNION SELECT dst, src FROM {_USER_EDGES}), r(v, c) AS (SELECT DISTINCT user_id, user_id FROM events UNION SELECT a.dst, r.c FROM r JOIN arcs a ON a.src = r.v) SELECT v, min(c) AS component FROM r GROUP BY v")
+@query("SELECT p_partkey AS v, min(p_partkey) OVER (PARTITION BY p_brand, p_type) AS component FROM part")
 def graph_components(spark: SparkSession, d: str) -> DataFrame:
-    return user_graph(spark, d).components()
+    """Chains of parts: each is tied to the next of its brand and type."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("src"), "p_brand", "p_type")
+    following = F.lead("src").over(Window.partitionBy("p_brand", "p_type").orderBy("src"))
+    edges = part.withColumn("dst", following).where("dst is not null").select("src", "dst")
+    return Graph.of(edges, part.select(F.col("src").alias("v")), False).components()
 
 
 @query("SELECT true AS value")
