@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import bpe, chat, labels, media, minhash, packing, quality, secrets, topk, toxicity, warc
+from ridgeline.llm import bpe, chat, labels, media, minhash, oracle, packing, quality, secrets, topk, toxicity, warc
 from ridgeline.session import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,4 +86,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_secrets": secrets.oracle_sql()}
+    return oracle.oracle_sql()
