@@ -20,6 +20,8 @@ from ridgeline.llm.labels import SAMPLE_CHARS, SAMPLE_ROWS, keep, sample, share,
 
 #: Hash buckets of words, dimensions and non-zero places of an index vector, words to each side that count as context, hidden units.
 BUCKETS, DIMENSIONS, NONZERO, WINDOW, HIDDEN = 1 << 15, 64, 4, 2, 32
+#: Words of the average text that a text's own words are mixed with, so that a few words say little; words of a training fragment.
+PRIOR, FRAGMENT = 4, (4, 24)
 #: Buckets of the marks that a word is in capitals, or repeats the one before it.
 _CAPITALS, _REPEATED = 0, 1
 
@@ -91,11 +93,27 @@ def pooled(vectors: np.ndarray, found: np.ndarray, at: np.ndarray, most: int = 1
     return out / np.maximum(np.diff(at), 1)[:, None]
 
 
+def _trust(at: np.ndarray) -> np.ndarray:
+    """How far each text's mean may leave the average text's."""
+    sizes = np.diff(at)
+    return (sizes / (sizes + PRIOR))[:, None]
+
+
+def fragments(found: np.ndarray, at: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """A run of a few words of each text; short texts are not common enough in a sample to learn from."""
+    sizes = np.diff(at)
+    length = np.minimum(rng.integers(FRAGMENT[0], FRAGMENT[1] + 1, len(sizes)), sizes)
+    start = at[:-1] + (rng.random(len(sizes)) * (sizes - length + 1)).astype(np.int64)
+    out_at = np.append(0, np.cumsum(length))
+    return found[np.arange(out_at[-1]) + np.repeat(start - out_at[:-1], length)], out_at
+
+
 @dataclass
 class QualityModel:
     """A fitted model: each bucket's share of the hidden layer, and the rest of the network."""
 
     share: np.ndarray
+    mean: np.ndarray
     bias: np.ndarray
     weights: np.ndarray
     offset: float
@@ -103,7 +121,7 @@ class QualityModel:
     shift: float
 
     def logits(self, found: np.ndarray, at: np.ndarray) -> np.ndarray:
-        hidden = np.tanh(pooled(self.share, found, at) + self.bias)
+        hidden = np.tanh((pooled(self.share, found, at) - self.mean) * _trust(at) + self.bias)
         return hidden @ self.weights + self.offset
 
     def score(self, texts: Sequence[str]) -> np.ndarray:
@@ -123,21 +141,24 @@ def train(texts: Sequence[str], y: np.ndarray, base: float, seed: int = 11, epoc
     vectors = word_vectors(found, at)
     x = pooled(vectors, found, at).astype(np.float64)
     if len(y) == 0:
-        x, y = np.zeros((1, DIMENSIONS)), np.ones(1, np.int64)
+        x, y, at = np.zeros((1, DIMENSIONS)), np.ones(1, np.int64), np.zeros(2, np.int64)
     mean, std = x.mean(axis=0), x.std(axis=0) + 1e-3
-    z = (x - mean) / std
+    part, part_at = fragments(found, at, rng)
+    whole = (x - mean) / std * _trust(at)
+    z = np.concatenate((whole, (pooled(vectors, part, part_at) - mean) / std * _trust(part_at)))
+    n, targets = len(y), np.concatenate((y, y))
     w1, b1 = rng.normal(0, DIMENSIONS**-0.5, (DIMENSIONS, HIDDEN)), np.zeros(HIDDEN)
     w2, b2 = rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)
     params = [w1, b1, w2, b2]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     calibrates = np.arange(len(y)) % 5 == 4 if len(y) >= 1000 else np.zeros(len(y), bool)
-    rows, step = np.flatnonzero(~calibrates), 0
+    rows, step = np.flatnonzero(~np.concatenate((calibrates, calibrates))), 0
     for _ in range(epochs):
         rng.shuffle(rows)
-        for lo in range(0, len(rows), 128):
-            part = rows[lo : lo + 128]
+        for lo in range(0, len(rows), 256):
+            part = rows[lo : lo + 256]
             hidden = np.tanh(z[part] @ w1 + b1)
-            error = (sigmoid(hidden @ w2 + b2) - y[part]) / len(part)
+            error = (sigmoid(hidden @ w2 + b2) - targets[part]) / len(part)
             back = error[:, None] * w2 * (1 - hidden**2)
             gradients = [z[part].T @ back + 1e-4 * w1, back.sum(axis=0), hidden.T @ error + 1e-4 * w2, np.array([error.sum()])]
             step += 1
@@ -145,13 +166,13 @@ def train(texts: Sequence[str], y: np.ndarray, base: float, seed: int = 11, epoc
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 p -= 0.005 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    held = np.flatnonzero(calibrates) if calibrates.any() else np.arange(len(y))
+    held = np.flatnonzero(calibrates) if calibrates.any() else np.arange(n)
     logits = np.tanh(z[held] @ w1 + b1) @ w2 + b2
     ones = max(y[held].mean(), 1e-3)
     weight = np.where(y[held] == 1, base / ones, (1 - base) / max(1 - ones, 1e-3))
     scale, shift = temperature(logits, y[held], weight)
     fold = w1 / std[:, None]
-    return QualityModel((vectors @ fold).astype(np.float32), (b1 - mean @ fold).astype(np.float32), w2, float(b2[0]), scale, shift)
+    return QualityModel((vectors @ fold).astype(np.float32), (mean @ fold).astype(np.float32), b1.astype(np.float32), w2, float(b2[0]), scale, shift)
 
 
 def fit(docs: DataFrame, labels: DataFrame, seen: Column, label: str = "quality", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> QualityModel:
