@@ -26,9 +26,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a != b").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Size and order-free digest of the edges; equal states mean that a step changed nothing."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame, work: Workspace) -> tuple[DataFrame, dict]:
+    """The written edges, with their number and an order-free digest; equal states mean that a step changed nothing."""
+    return work.measured(edges, n=F.count(F.lit(1)), digest=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
 
 
 def components(edges: DataFrame, work: Workspace) -> DataFrame:
@@ -38,13 +38,11 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
     node, so a node with very many neighbours is split by skew handling; nothing is collected but
     one row of counts a step. Each step's table is written to the shared folder.
     """
-    now = work.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-    state = _state(now)
-    while state[0]:
-        after = work.write(_star(_star(now, True), False))
-        was, state = state, _state(after)
+    now, state = _written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), work)
+    while state["n"]:
+        after, new = _written(_star(_star(now, True), False), work)
         work.drop(now)
-        now = after
+        now, was, state = after, state, new
         if state == was:
             break
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()

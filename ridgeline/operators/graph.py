@@ -87,13 +87,14 @@ class Graph:
         work = Workspace(spark, "distances")
         kind = "double" if weighted else "bigint"
         start = self.vertices.where(F.col("v").isin(list(sources))).select("v", F.lit(0).cast(kind).alias("dist"))
-        known = work.write(start.withColumn("fresh", F.lit(True)))
+        fresh = {"fresh": F.count_if("fresh")}
+        known, seen = work.measured(start.withColumn("fresh", F.lit(True)), **fresh)
         arcs = work.write(self.arcs.select(F.col("src").alias("v"), "dst", (F.col("w") if weighted else F.lit(1)).cast(kind).alias("step")))
-        while known.where("fresh").limit(1).count():
+        while seen["fresh"]:
             reached = known.where("fresh").join(arcs, "v").groupBy(F.col("dst").alias("v")).agg(F.min(F.col("dist") + F.col("step")).alias("offer"))
             both = known.select("v", "dist").join(reached, "v", "full")
             better = F.col("dist").isNull() | (F.col("offer") < F.col("dist"))
-            after = work.write(both.select("v", F.when(F.col("offer").isNotNull() & better, F.col("offer")).otherwise(F.col("dist")).alias("dist"), F.coalesce(F.col("offer").isNotNull() & better, F.lit(False)).alias("fresh")))
+            after, seen = work.measured(both.select("v", F.when(F.col("offer").isNotNull() & better, F.col("offer")).otherwise(F.col("dist")).alias("dist"), F.coalesce(F.col("offer").isNotNull() & better, F.lit(False)).alias("fresh")), **fresh)
             work.drop(known)
             known = after
         return self.vertices.join(known.select("v", "dist"), "v", "left").select("v", F.coalesce("dist", F.lit(-1).cast(kind)).alias("dist"))
@@ -135,9 +136,9 @@ class Graph:
         """
         spark = self.vertices.sparkSession
         work = Workspace(spark, "forest")
-        edges = work.write(self._edges().where("a != b").withColumns({"ca": F.col("a"), "cb": F.col("b")}))
+        edges, seen = work.measured(self._edges().where("a != b").withColumns({"ca": F.col("a"), "cb": F.col("b")}), n=F.count(F.lit(1)))
         chosen: list[DataFrame] = []
-        while edges.limit(1).count():
+        while seen["n"]:
             ends = edges.select("a", "b", "w", F.explode(F.array("ca", "cb")).alias("c"))
             picked = work.write(ends.groupBy("c").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.*").distinct())
             chosen.append(picked)
@@ -146,7 +147,7 @@ class Graph:
             out = edges
             for side in ("ca", "cb"):
                 out = out.join(names.select(F.col("id").alias(side), F.col("component").alias("__new")), side, "left").withColumn(side, F.coalesce("__new", side)).drop("__new")
-            after = work.write(out.where("ca != cb").select("a", "b", "w", "ca", "cb"))
+            after, seen = work.measured(out.where("ca != cb").select("a", "b", "w", "ca", "cb"), n=F.count(F.lit(1)))
             work.drop(edges)
             edges = after
         if not chosen:

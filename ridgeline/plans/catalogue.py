@@ -661,7 +661,7 @@ def jacobi_steps(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").count()
     a = Matrix.tridiagonal(spark, n, lambda r, c: F.when(r == c, 4.0).otherwise(-1.0))
     b = spark.range(n).select(F.col("id").alias("i"), (F.col("id") + 1.0).alias("v"))
-    return rounded(solvers.jacobi(a, b, control=solvers.Control(0.0, most=8), check_every=8).x, 6)
+    return rounded(solvers.jacobi(a, b, control=solvers.Control(0.0, most=8)).x, 6)
 
 
 @query("SELECT round(1 + sum((n_regionkey + 1) * (n_regionkey + 1)), 6)::DOUBLE AS value FROM nation")

@@ -58,13 +58,19 @@ def _sums(rows: DataFrame, *values: Column) -> list[float]:
     return list(got)
 
 
+def _written(work: Workspace, rows: DataFrame, *values: Column) -> tuple[DataFrame, list[float]]:
+    """The written rows and the sums of some expressions over them, from one job."""
+    out, seen = work.measured(rows, **{f"s{k}": F.coalesce(F.sum(v), F.lit(0.0)) for k, v in enumerate(values)})
+    return out, [seen[f"s{k}"] for k in range(len(values))]
+
+
 def residue(a: Matrix, x: DataFrame, b: DataFrame) -> DataFrame:
     """One row: the norm of A x - b over the norm of b."""
     rows = a.vector_product(x).withColumnRenamed("v", "ax").join(b.withColumnRenamed("v", "b"), "i")
     return rows.agg((F.sqrt(F.sum(F.pow(F.col("ax") - F.col("b"), 2))) / F.sqrt(F.sum(F.col("b") * F.col("b")))).alias("value"))
 
 
-def jacobi(a: Matrix, b: DataFrame, x0: DataFrame | None = None, omega: float = 1.0, control: Control | None = None, check_every: int = 1) -> Result:
+def jacobi(a: Matrix, b: DataFrame, x0: DataFrame | None = None, omega: float = 1.0, control: Control | None = None) -> Result:
     """x becomes x + omega * (b - A x) / diagonal, until the residue is small."""
     control = control or Control()
     work = Workspace(b.sparkSession, "jacobi")
@@ -74,10 +80,8 @@ def jacobi(a: Matrix, b: DataFrame, x0: DataFrame | None = None, omega: float =
     norm = math.sqrt(_sums(now, F.col("b") * F.col("b"))[0]) or 1.0
     step, rest = 0, 1.0
     while control.goes_on(step, rest):
-        after = work.write(_times(a, now, "x", "ax").select("i", "b", "d", (F.col("x") + F.lit(omega) * (F.col("b") - F.col("ax")) / F.col("d")).alias("x"), (F.col("b") - F.col("ax")).alias("r")))
-        step += 1
-        if step % check_every == 0:
-            rest = math.sqrt(_sums(after, F.col("r") * F.col("r"))[0]) / norm
+        after, (r2,) = _written(work, _times(a, now, "x", "ax").select("i", "b", "d", (F.col("x") + F.lit(omega) * (F.col("b") - F.col("ax")) / F.col("d")).alias("x"), (F.col("b") - F.col("ax")).alias("r")), F.col("r") * F.col("r"))
+        step, rest = step + 1, math.sqrt(r2) / norm
         work.drop(now)
         now = after
     return Result(now.select("i", F.col("x").alias("v")), step, rest, rest < control.convergence)
@@ -93,8 +97,7 @@ def conjugate_gradients(a: Matrix, b: DataFrame, preconditioned: bool = False, c
     norm = math.sqrt(norm2)
     step, rest = 0, 1.0 if norm else 0.0
     while norm and control.goes_on(step, rest):
-        product = work.write(_times(a, now, "p", "ap"))
-        (pap,) = _sums(product, F.col("p") * F.col("ap"))
+        product, (pap,) = _written(work, _times(a, now, "p", "ap"), F.col("p") * F.col("ap"))
         if not pap:
             break
         alpha = rz / pap
@@ -115,13 +118,11 @@ def bicgstab(a: Matrix, b: DataFrame, control: Control | None = None) -> Result:
     norm = math.sqrt(rho)
     step, rest = 0, 1.0 if norm else 0.0
     while norm and control.goes_on(step, rest):
-        first = work.write(_times(a, now, "p", "ap"))
-        (apr,) = _sums(first, F.col("ap") * F.col("r0"))
+        first, (apr,) = _written(work, _times(a, now, "p", "ap"), F.col("ap") * F.col("r0"))
         if not apr:
             break
         alpha = rho / apr
-        second = work.write(_times(a, first.withColumn("s", F.col("r") - alpha * F.col("ap")), "s", "as"))
-        as_s, as_as = _sums(second, F.col("as") * F.col("s"), F.col("as") * F.col("as"))
+        second, (as_s, as_as) = _written(work, _times(a, first.withColumn("s", F.col("r") - alpha * F.col("ap")), "s", "as"), F.col("as") * F.col("s"), F.col("as") * F.col("as"))
         omega = as_s / as_as if as_as else 0.0
         moved = second.select("i", (F.col("x") + alpha * F.col("p") + omega * F.col("s")).alias("x"), (F.col("s") - omega * F.col("as")).alias("r"), "r0", "p", "ap")
         after_rho, r2 = _sums(moved, F.col("r") * F.col("r0"), F.col("r") * F.col("r"))
@@ -251,8 +252,7 @@ def power_iteration(a: Matrix, x0: DataFrame, shift: float = 0.0, control: Contr
     norm, value = math.sqrt(norm2), 0.0
     for step in range(1, control.most + 1):
         unit = now.select("i", (F.col("x") / norm).alias("x"))
-        after = work.write(_times(a, unit, "x", "ax").select("i", F.col("x").alias("before"), (F.col("ax") - shift * F.col("x")).alias("x")))
-        value, norm2 = _sums(after, F.col("before") * F.col("x"), F.col("x") * F.col("x"))
+        after, (value, norm2) = _written(work, _times(a, unit, "x", "ax").select("i", F.col("x").alias("before"), (F.col("ax") - shift * F.col("x")).alias("x")), F.col("before") * F.col("x"), F.col("x") * F.col("x"))
         norm = math.sqrt(norm2) if norm2 == norm2 and norm2 > 0 else norm2
         if norm != norm:
             return value + shift, now.select("i", F.col("x").alias("v")), -1

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Runtime settings the plans rely on; all are public Spark SQL settings.
 RUNTIME = {
@@ -55,6 +55,12 @@ class Workspace:
         self.paths[id(out)] = path
         return out
 
+    def measured(self, df: DataFrame, **aggregates: Column) -> tuple[DataFrame, dict]:
+        """Like write(), with aggregates over the rows that are gathered while they are written, so they cost no further job."""
+        seen = Observation()
+        out = self.write(df.observe(seen, *(a.alias(n) for n, a in aggregates.items())))
+        return out, seen.get
+
     def drop(self, *frames: DataFrame) -> None:
         """Deletes the tables behind frames returned by write()."""
         jvm = self.spark._jvm
