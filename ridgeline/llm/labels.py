@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Labelled rows and code points that a classifier is fitted on at most.
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 12_000_000
+SAMPLE_ROWS, SAMPLE_CHARS = 3000, 6_000_000
 
 
 def fold(key: str | Column, parts: int) -> Column:
@@ -36,6 +38,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, seen: Column, rows: i
     return [r[2] for r in got], np.array([r[3] == 1 for r in got], np.int64)
 
 
+def release() -> None:
+    """Gives memory that training has freed back to the system, where the C library can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def share(docs: DataFrame, labels: DataFrame, label: str, seen: Column) -> float:
     """The share of label 1 among all rows that may be learned from."""
     known = labels.where(f"doc_id is not null and {label} is not null").where(seen)

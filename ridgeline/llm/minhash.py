@@ -259,7 +259,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     pairs = work.write(shared.where(f"id != first_id and 100 * least(n, first_n) >= {percent} * greatest(n, first_n)").select(F.col("id").alias("a"), F.col("first_id").alias("b")).distinct())
     members = shared.select("bucket", "id")
     needed = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = work.write(docs.join(needed, "doc_id", "left_semi"))
+    # The same plan at every size: an exchange of the documents, never a broadcast of ids.
+    texts = work.write(docs.join(needed.hint("merge"), "doc_id", "left_semi"))
     links = work.write(_links(pairs, texts, width, percent))
     labels = work.write(components(links, work))
     groups = work.write(components(shared.where("id != first_id").select(F.col("id").alias("a"), F.col("first_id").alias("b")), work))
@@ -281,7 +282,7 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     """
     work = Workspace(docs.sparkSession, "deduplicate")
     found = work.write(near_duplicates(docs, width, percent))
-    left = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    left = docs.join(found.where("not kept").select("doc_id").distinct().hint("merge"), "doc_id", "left_anti")
     repeated = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not repeated.take(1):
         return left.select(docs.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm import _text
-from ridgeline.llm.labels import SAMPLE_CHARS, SAMPLE_ROWS, keep, sample, share, sigmoid, temperature
+from ridgeline.llm.labels import SAMPLE_CHARS, SAMPLE_ROWS, keep, release, sample, share, sigmoid, temperature
 
 #: Hash buckets of words, dimensions and non-zero places of an index vector, words to each side that count as context, hidden units.
 BUCKETS, DIMENSIONS, NONZERO, WINDOW, HIDDEN = 1 << 15, 64, 4, 2, 32
@@ -178,7 +178,10 @@ def train(texts: Sequence[str], y: np.ndarray, base: float, seed: int = 11, epoc
 def fit(docs: DataFrame, labels: DataFrame, seen: Column, label: str = "quality", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> QualityModel:
     """A model of labels.<label>, learned from a bounded sample of the labelled rows for which `seen` holds. Without any, every score is near 1/2."""
     texts, y = sample(docs, labels, label, seen, rows, chars)
-    return train(texts, y, min(max(share(docs, labels, label, seen), 0.001), 0.999))
+    model = train(texts, y, min(max(share(docs, labels, label, seen), 0.001), 0.999))
+    del texts
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:

@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm import _text
-from ridgeline.llm.labels import SAMPLE_CHARS, keep, sample, share, sigmoid
+from ridgeline.llm.labels import SAMPLE_CHARS, keep, release, sample, share, sigmoid
 
 #: Labelled documents that are learned from at most, hash buckets of features, and lengths of a word's beginnings (0: the word).
-SAMPLE_ROWS, BUCKETS, PREFIXES = 5000, 1 << 18, (0, 4, 5, 7)
+SAMPLE_ROWS, BUCKETS, PREFIXES = 3000, 1 << 18, (0, 4, 5, 7)
 #: Natural-log odds that an association with toxic documents is no chance, and how many times likelier it must make them.
 EVIDENCE, RATIO = 12.0, 4.0
 
@@ -236,7 +236,10 @@ def train(texts: Sequence[str], y: np.ndarray, base: float, epochs: int = 12, se
 def fit(docs: DataFrame, labels: DataFrame, seen: Column, label: str = "toxic", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> ToxicityModel:
     """A model of labels.<label>, learned from a bounded sample of the labelled rows for which `seen` holds."""
     texts, y = sample(docs, labels, label, seen, rows, chars)
-    return train(texts, y, min(max(share(docs, labels, label, seen), 0.001), 0.999))
+    model = train(texts, y, min(max(share(docs, labels, label, seen), 0.001), 0.999))
+    del texts
+    release()
+    return model
 
 
 def tag(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> DataFrame:
