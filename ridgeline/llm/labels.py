@@ -8,11 +8,15 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.session import Workspace
+
 #: Labelled rows and code points that a classifier is fitted on at most.
 SAMPLE_ROWS, SAMPLE_CHARS = 3000, 6_000_000
+#: The part of the code points, as a divisor, up to which a text comes before longer ones.
+SHARE = 64
 
 
 def fold(key: str | Column, parts: int) -> Column:
@@ -24,18 +28,34 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, seen: Column, rows: i
     """Whole texts and labels of at most `rows` labelled rows for which `seen` holds, half of each label where there are enough.
 
     The rows are those of the least hash of their doc_id, so the sample is the same at every run.
-    It is bounded in rows and in code points together, whatever the tables' size: rows beyond
-    `chars` are left out whole. Rows with a null text, doc_id or label are no examples; where a doc_id
+    It is bounded in rows and in code points together, whatever the tables' size. A text of more than
+    chars / SHARE code points is taken only where the others leave its label places and room, and one
+    that does not fit is passed over; the next of its label takes its place. Rows with a null text,
+    doc_id or label, or without a document, are no examples; rows that repeat are one. Where a doc_id
     has several labels the smallest counts.
     """
+    work = Workspace(docs.sparkSession, "sample")
     known = labels.where(f"doc_id is not null and {label} is not null").groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"))
-    known = known.where(seen).withColumn("order", F.xxhash64("doc_id"))
-    parts = [known.where(c).orderBy("order", "doc_id").limit(rows // 2) for c in ("y = 1", "y != 1")]
-    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # `rows` rows of three numbers at most
-    found = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id")
-    size = F.sum(F.length("text")).over(Window.orderBy("order", "doc_id", "text"))  # over the chosen rows only
-    got = sorted((r["order"], r["doc_id"], r["text"], r["y"]) for r in found.withColumn("size", size).where(F.col("size") <= chars).select("order", "doc_id", "text", "y").collect())
-    return [r[2] for r in got], np.array([r[3] == 1 for r in got], np.int64)
+    known = known.where(seen).withColumn("order", F.xxhash64("doc_id")).withColumn("y", F.expr("y = 1"))
+    size, digest = F.length("text").alias("size"), F.xxhash64("text").alias("digest")
+    sized = docs.where("text is not null").select("doc_id", size, digest)
+    found = work.write(sized.join(known, "doc_id").where(F.col("size") <= chars).distinct())  # numbers only
+    taken, room, places = [], chars, {True: rows // 2, False: rows // 2}
+    for kind in (F.col("size") * SHARE <= chars, F.col("size") * SHARE > chars):
+        drawn = [r for y, n in places.items() for r in found.where(kind & (F.col("y") == y)).orderBy("order", "doc_id", "digest").limit(n).collect()]
+        for r in sorted(drawn, key=lambda r: (r["order"], r["doc_id"], r["digest"])):
+            if r["size"] <= room:
+                taken.append((r["doc_id"], r["size"], r["digest"], r["order"], r["y"]))
+                room -= r["size"]
+                places[r["y"]] -= 1
+    schema = found.select("doc_id", "size", "digest", "order", "y").schema
+    work.drop(found)
+    if not taken:
+        return [], np.zeros(0, np.int64)
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(taken, schema))  # `rows` rows of five numbers at most
+    texts = docs.where("text is not null").select("doc_id", size, digest, "text").join(chosen, ["doc_id", "size", "digest"]).dropDuplicates(["doc_id", "size", "digest"])
+    got = sorted((r["order"], r["doc_id"], r["text"], r["y"]) for r in texts.select("order", "doc_id", "text", "y").collect())
+    return [r[2] for r in got], np.array([r[3] for r in got], np.int64)
 
 
 def release() -> None:

@@ -10,6 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ridgeline.llm import _text, bpe, chat, labels, media, minhash, packing, quality, secrets, topk, toxicity, warc
 from ridgeline.llm.queries import queries
@@ -161,6 +162,20 @@ def small_models():
     return quality.train(good + bad, y, 0.5), toxicity.train(good + bad, 1 - y, 0.5)
 
 
+def test_long_texts_cost_only_their_own_place(spark):
+    first = spark.range(200).orderBy(F.xxhash64("id")).first()["id"]
+    known = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    for size in (labels.SAMPLE_CHARS + 1, labels.SAMPLE_CHARS):  # one that never fits, and one that would fill the sample
+        docs = spark.createDataFrame([(i, "x" * size if i == first else f"text {i}") for i in range(200)], DOCS)
+        texts, y = labels.sample(docs, known, "toxic", F.lit(True))
+        assert sorted(texts) == sorted(f"text {i}" for i in range(200) if i != first)
+        assert len(y) == 199
+        texts, y = labels.sample(docs, known, "toxic", F.lit(True), rows=100)
+        assert len(texts) == 100 and y.sum() == 50  # the next of its label has its place
+    texts, _ = labels.sample(docs.where(f"doc_id = {first}"), known, "toxic", F.lit(True))
+    assert [len(t) for t in texts] == [labels.SAMPLE_CHARS]
+
+
 def test_classifiers_on_odd_texts(spark):
     q, t = small_models()
     rows = [(1, None), (2, ""), (3, "stupid clown"), (3, "stupid clown"), (4, "river " * 50000), (None, "퟿ ☃ 日本")]
