@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ridgeline.session import Workspace
 
 #: Labelled rows and code points that a classifier is fitted on at most.
-SAMPLE_ROWS, SAMPLE_CHARS = 3000, 6_000_000
+SAMPLE_ROWS, SAMPLE_CHARS = 4000, 12_000_000
 #: The part of the code points, as a divisor, up to which a text comes before longer ones.
 SHARE = 64
 
@@ -58,6 +58,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, seen: Column, rows: i
     return [r[2] for r in got], np.array([r[3] for r in got], np.int64)
 
 
+def blocks(at: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[int, int]]:
+    """Runs of texts of at most `most` words together, or one longer text. at: where each text's words start."""
+    lo = 0
+    while lo < len(at) - 1:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, side="right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def release() -> None:
     """Gives memory that training has freed back to the system, where the C library can."""
     gc.collect()

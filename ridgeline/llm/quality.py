@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm import _text
-from ridgeline.llm.labels import SAMPLE_CHARS, SAMPLE_ROWS, keep, release, sample, share, sigmoid, temperature
+from ridgeline.llm.labels import SAMPLE_CHARS, SAMPLE_ROWS, blocks, keep, release, sample, share, sigmoid, temperature
 
 #: Hash buckets of words, dimensions and non-zero places of an index vector, words to each side that count as context, hidden units.
 BUCKETS, DIMENSIONS, NONZERO, WINDOW, HIDDEN = 1 << 15, 64, 4, 2, 32
@@ -64,12 +64,13 @@ def word_vectors(found: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Unit vectors of all buckets from the contexts in the token stream; without contexts, the own index vector."""
     place, sign = index_vectors()
     total = np.zeros(BUCKETS * DIMENSIONS)
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    for shift in range(1, WINDOW + 1):
-        same = np.flatnonzero(doc[shift:] == doc[:-shift])
-        for word, context in ((found[same], found[same + shift]), (found[same + shift], found[same])):
-            for k in range(NONZERO):
-                total += np.bincount(word * DIMENSIONS + place[context, k], sign[context, k], len(total))
+    for lo, hi in blocks(at, 1 << 19):  # sums of whole numbers, the same in any blocks
+        part, doc = found[at[lo] : at[hi]], np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1]))
+        for shift in range(1, WINDOW + 1):
+            same = np.flatnonzero(doc[shift:] == doc[:-shift])
+            for word, context in ((part[same], part[same + shift]), (part[same + shift], part[same])):
+                for k in range(NONZERO):
+                    total += np.bincount(word * DIMENSIONS + place[context, k], sign[context, k], len(total))
     vectors = total.reshape(BUCKETS, DIMENSIONS)
     own = np.zeros((BUCKETS, DIMENSIONS))
     for k in range(NONZERO):
@@ -83,13 +84,10 @@ def word_vectors(found: np.ndarray, at: np.ndarray) -> np.ndarray:
 def pooled(vectors: np.ndarray, found: np.ndarray, at: np.ndarray, most: int = 1 << 17) -> np.ndarray:
     """The mean vector of each text; zeros for a text without words. Texts are taken together up to `most` words, a longer one alone."""
     out = np.zeros((len(at) - 1, vectors.shape[1]), vectors.dtype)
-    lo = 0
-    while lo < len(at) - 1:
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, side="right")) - 1)
+    for lo, hi in blocks(at, most):
         full = lo + np.flatnonzero(np.diff(at[lo : hi + 1]))
         if len(full):
             out[full] = np.add.reduceat(vectors[found[at[lo] : at[hi]]], at[full] - at[lo], axis=0)
-        lo = hi
     return out / np.maximum(np.diff(at), 1)[:, None]
 
 
@@ -134,10 +132,22 @@ class QualityModel:
 
 def train(texts: Sequence[str], y: np.ndarray, base: float, seed: int = 11, epochs: int = 60) -> QualityModel:
     """A model from whole texts; of 1000 or more every fifth one only calibrates. base: the share of label 1 among all rows."""
+    return learn(*read(texts), y, base, seed, epochs)
+
+
+def read(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """tokens() of many texts, in four bytes each."""
+    found, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for lo, hi in _text.chunks(texts):
+        part, at = tokens(texts[lo:hi])
+        found.append(part.astype(np.int32))
+        sizes.append(np.diff(at))
+    return np.concatenate(found), np.cumsum(np.concatenate(sizes))
+
+
+def learn(found: np.ndarray, at: np.ndarray, y: np.ndarray, base: float, seed: int = 11, epochs: int = 60) -> QualityModel:
+    """train() on what read() gives, which needs the texts no longer."""
     rng = np.random.default_rng(seed)
-    parts = [tokens(texts[lo:hi]) for lo, hi in _text.chunks(texts)]
-    found = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-    at = np.append(0, np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))) if parts else np.zeros(1, np.int64)
     vectors = word_vectors(found, at)
     x = pooled(vectors, found, at).astype(np.float64)
     if len(y) == 0:
@@ -178,9 +188,11 @@ def train(texts: Sequence[str], y: np.ndarray, base: float, seed: int = 11, epoc
 def fit(docs: DataFrame, labels: DataFrame, seen: Column, label: str = "quality", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> QualityModel:
     """A model of labels.<label>, learned from a bounded sample of the labelled rows for which `seen` holds. Without any, every score is near 1/2."""
     texts, y = sample(docs, labels, label, seen, rows, chars)
-    model = train(texts, y, min(max(share(docs, labels, label, seen), 0.001), 0.999))
+    found, at = read(texts)
     del texts
     release()
+    model = learn(found, at, y, min(max(share(docs, labels, label, seen), 0.001), 0.999))
+    release()
     return model
 
 

@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm import _text
-from ridgeline.llm.labels import SAMPLE_CHARS, keep, release, sample, share, sigmoid
+from ridgeline.llm.labels import SAMPLE_CHARS, blocks, keep, release, sample, share, sigmoid
 
 #: Labelled documents that are learned from at most, hash buckets of features, and lengths of a word's beginnings (0: the word).
-SAMPLE_ROWS, BUCKETS, PREFIXES = 3000, 1 << 18, (0, 4, 5, 7)
+SAMPLE_ROWS, BUCKETS, PREFIXES = 5000, 1 << 18, (0, 4, 5, 7)
 #: Natural-log odds that an association with toxic documents is no chance, and how many times likelier it must make them.
 EVIDENCE, RATIO = 12.0, 4.0
 
@@ -154,28 +154,42 @@ def summary(p: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def toxic_tokens(features: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Labels of words: 1 in a toxic text where a feature stands in toxic texts beyond chance."""
-    doc = np.repeat(np.arange(len(y)), np.diff(at))
     toxic, clean = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
     hot = np.zeros(BUCKETS, bool)
     rate = toxic / (toxic + clean)
     for k in range(features.shape[1]):
-        pairs = np.unique(doc.astype(np.int64) * BUCKETS + features[:, k])
-        feature, label = pairs % BUCKETS, y[pairs // BUCKETS]
-        n1 = np.bincount(feature[label == 1], minlength=BUCKETS)
-        n = np.bincount(feature, minlength=BUCKETS)
+        n1, n = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        for lo, hi in blocks(at):
+            doc = np.repeat(np.arange(lo, hi), np.diff(at[lo : hi + 1]))
+            pairs = np.unique(doc * BUCKETS + features[at[lo] : at[hi], k])
+            feature, label = pairs % BUCKETS, y[pairs // BUCKETS]
+            n1 += np.bincount(feature[label == 1], minlength=BUCKETS)
+            n += np.bincount(feature, minlength=BUCKETS)
         share1 = np.clip(n1 / np.maximum(n, 1), 1e-9, 1 - 1e-9)
         evidence = n * (share1 * np.log(share1 / rate) + (1 - share1) * np.log((1 - share1) / (1 - rate)))
         hot |= (n1 / toxic > RATIO * (n - n1 + 0.5) / clean) & (evidence > min(EVIDENCE, 0.6 * toxic * -np.log(rate)))
-    return (hot[features].any(axis=1) & (y[doc] == 1)).astype(np.float64)
+    return (hot[features].any(axis=1) & np.repeat(y == 1, np.diff(at))).astype(np.float64)
 
 
 def train(texts: Sequence[str], y: np.ndarray, base: float, epochs: int = 12, seed: int = 5) -> ToxicityModel:
     """A model from whole texts; of 1000 or more every fifth one only calibrates. base: the share of label 1 among all rows."""
+    return learn(*read(texts), y, base, epochs, seed)
+
+
+def read(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of the words of many texts, and where each text's words start."""
+    features, sizes = [np.zeros((0, len(PREFIXES)), np.int32)], [np.zeros(1, np.int64)]
+    for lo, hi in _text.chunks(texts):
+        part, _, _, at = words(texts[lo:hi])
+        features.append(part)
+        sizes.append(np.diff(at))
+    return np.concatenate(features), np.cumsum(np.concatenate(sizes))
+
+
+def learn(features: np.ndarray, at: np.ndarray, y: np.ndarray, base: float, epochs: int = 12, seed: int = 5) -> ToxicityModel:
+    """train() on what read() gives, which needs the texts no longer."""
     if len(y) == 0:
         return ToxicityModel(np.zeros(BUCKETS, np.float32), -4.0, -4.0, np.zeros((2, 2)), np.array([0.0, 0.0, 0.0, -2.0]), np.zeros(3), np.ones(3))
-    parts = [words(texts[lo:hi]) for lo, hi in _text.chunks(texts)]
-    features = np.concatenate([p[0] for p in parts])
-    at = np.append(0, np.cumsum(np.concatenate([np.diff(p[3]) for p in parts])))
     held = np.arange(len(y)) % 5 == 4 if len(y) >= 1000 else np.zeros(len(y), bool)
     gold = toxic_tokens(features[np.repeat(~held, np.diff(at))], np.append(0, np.cumsum(np.diff(at)[~held])), y[~held])
     rng = np.random.default_rng(seed)
@@ -184,10 +198,10 @@ def train(texts: Sequence[str], y: np.ndarray, base: float, epochs: int = 12, se
     # Parameters: feature weights, bias, start, transitions; all but the bias are drawn to 0.
     weights, rest = np.zeros(BUCKETS), np.array([-3.0, 0.0, 0.0, 0.0, 0.0, 0.0])
     seen, seen_rest = np.full(BUCKETS, 1e-2), np.full(6, 1e-2)
-    blocks = max(1, len(gold) // 60_000)
+    batches = max(1, len(gold) // 60_000)
     for epoch in range(epochs):
         deal = rng.permutation(len(learned))
-        for part in np.array_split(deal, blocks):
+        for part in np.array_split(deal, batches):
             spans = [np.arange(at[d], at[d + 1]) for d in learned[part]]
             rows = np.concatenate(spans) if spans else np.zeros(0, np.int64)
             if not len(rows):
@@ -213,8 +227,8 @@ def train(texts: Sequence[str], y: np.ndarray, base: float, epochs: int = 12, se
             rest[2:] = np.clip(rest[2:], -2, 2)
     model = ToxicityModel(weights.astype(np.float32), float(rest[0]), float(rest[1]), rest[2:].reshape(2, 2).copy(), np.zeros(4), np.zeros(3), np.ones(3))
     # The document's score: a logistic function of the marginals' summary, fitted on texts the field has not seen.
-    all_p = model.marginals(features, at)
-    x = summary(all_p, at)
+    spans = [(at[lo : hi + 1] - at[lo], features[at[lo] : at[hi]]) for lo, hi in blocks(at)]
+    x = np.concatenate([summary(model.marginals(f, part_at), part_at) for part_at, f in spans])
     rows = np.flatnonzero(held) if held.any() else np.arange(len(y))
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.column_stack(((x[rows] - model.mean) / model.scale, np.ones(len(rows))))
@@ -236,9 +250,11 @@ def train(texts: Sequence[str], y: np.ndarray, base: float, epochs: int = 12, se
 def fit(docs: DataFrame, labels: DataFrame, seen: Column, label: str = "toxic", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> ToxicityModel:
     """A model of labels.<label>, learned from a bounded sample of the labelled rows for which `seen` holds."""
     texts, y = sample(docs, labels, label, seen, rows, chars)
-    model = train(texts, y, min(max(share(docs, labels, label, seen), 0.001), 0.999))
+    features, at = read(texts)
     del texts
     release()
+    model = learn(features, at, y, min(max(share(docs, labels, label, seen), 0.001), 0.999))
+    release()
     return model
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -176,6 +177,29 @@ def test_long_texts_cost_only_their_own_place(spark):
     assert [len(t) for t in texts] == [labels.SAMPLE_CHARS]
 
 
+def test_toxic_words_of_few_texts_are_learned(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{a}{b}{c}" for a in "abcdefgh" for b in "abcdefgh" for c in "abcdefgh"]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=20)) + (" zorgblat" if i % 2 and i % 180 < 2 else "")) for i in range(9000)]
+    docs, known = docs_of(spark, rows, extra=False), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, known, F.lit(True))
+    features, _, _, at = toxicity.words(["wabc zorgblat wfgh"])
+    assert model.marginals(features, at)[1] > 0.5
+
+
+def test_training_holds_little_memory():
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 5000, 420)) for _ in range(4000)]
+    y = np.arange(4000) % 2
+    for module, most in ((quality, 150), (toxicity, 150)):
+        read = module.read(texts)
+        tracemalloc.start()
+        module.learn(*read, y, 0.5, epochs=1)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert peak < most, (module.__name__, peak)
+
+
 def test_classifiers_on_odd_texts(spark):
     q, t = small_models()
     rows = [(1, None), (2, ""), (3, "stupid clown"), (3, "stupid clown"), (4, "river " * 50000), (None, "퟿ ☃ 日本")]
