@@ -125,7 +125,7 @@ def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
 
 
 def _sets(width: int):
-    """Adds each text's distinct shingles, as sorted 32-bit hashes, and their number before hashing to 32 bits."""
+    """Adds each text's distinct shingles, as sorted 64-bit hashes, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +134,7 @@ def _sets(width: int):
             for lo, hi in _text.chunks(texts):
                 hashes, at = _text.shingle_hashes(texts[lo:hi], width)
                 distinct = [np.unique(hashes[at[i] : at[i + 1]]) for i in range(hi - lo)]
-                sets = [(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in distinct]
+                sets = [x.tobytes() for x in distinct]
                 yield pa.RecordBatch.from_arrays([*kept.slice(lo, hi - lo).columns, pa.array(map(len, distinct), pa.int64()), pa.array(sets, pa.binary())], [*kept.schema.names, "n", "shingles"])
 
     return run
@@ -142,7 +142,7 @@ def _sets(width: int):
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = COLUMNS) -> np.ndarray:
     """How many elements each set of left shares with each of right, by products of incidence matrices over `columns` elements at a time."""
-    flat = [np.concatenate(x) if x else np.zeros(0, np.uint32) for x in (left, right)]
+    flat = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (left, right)]
     owner = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
     both = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
     out = np.zeros((len(left), len(right)), np.float32)
@@ -166,7 +166,7 @@ def _block_links(percent: int):
         asking, asked = [r for r in rows if r[3]], [r for r in rows if not r[3]]
         if not asking or not asked:
             return []
-        sets = [[np.frombuffer(r[6], np.uint32) for r in side] for side in (asking, asked)]
+        sets = [[np.frombuffer(r[6], np.uint64) for r in side] for side in (asking, asked)]
         common = shared_counts(*sets)
         sizes = [np.array([r[5] for r in side], np.int64) for side in (asking, asked)]
         comp = [np.array([r[4] for r in side], np.int64) for side in (asking, asked)]

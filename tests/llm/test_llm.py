@@ -7,6 +7,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -116,6 +117,16 @@ def test_shared_counts():
     assert got.tolist() == [[len(np.intersect1d(x, y)) for y in sets[1:]] for x in sets]
 
 
+def test_blocks_keep_whole_hashes(monkeypatch):
+    """Shingles that differ in the lower half of their hashes only are told apart: the sets share 17 of 20, and 16 of 20."""
+    held = [np.arange(1, 18), np.arange(1, 21), np.arange(1, 17)]
+    flat, at = np.concatenate(held).astype(np.uint64), np.append(0, np.cumsum([len(x) for x in held]))
+    monkeypatch.setattr(_text, "shingle_hashes", lambda texts, width: (flat, at))
+    rows = {"unit": [1] * 3, "block": [0] * 3, "id": [1, 2, 3], "asks": [False, True, False], "comp": [1, 2, 3], "text": ["a", "b", "c"]}
+    found = pa.Table.from_batches(minhash._block_links(85)(minhash._sets(3)(iter([pa.RecordBatch.from_pydict(rows)]))))
+    assert found.to_pylist() == [{"a": 2, "b": 1}]
+
+
 # Web archives.
 
 
