@@ -177,13 +177,14 @@ def top_k(vectors: DataFrame, is_query: str = "pmod(vec_id, 20) = 0", k: int = K
     floor(scale * x), x as double. Candidates are all rows but those with the query's own vec_id; ties
     go to the smaller vec_id. Rows with a null vec_id, a null vector, or null or non-finite components
     take no part; vectors of another length than the query's are no candidates. Rows that repeat a
-    vec_id are candidates each; as a query, one row of each vec_id is answered. An empty table gives
+    vec_id are candidates each; as a query, the least valid vector of each vec_id is answered. An empty table gives
     an empty result. A score that leaves 64 bits is an error.
     """
     work = Workspace(vectors.sparkSession, "topk")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     candidates = work.write(rows.mapInArrow(_pack(scale, CANDIDATES), _BLOCK).withColumn("c_block", F.monotonically_increasing_id()))
-    asked = rows.where(is_query).dropDuplicates(["vec_id"])
+    whole = rows.where(is_query).where("forall(embedding, x -> x is not null and abs(x) < double('inf'))")  # NaN is above infinity
+    asked = whole.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     asked = work.write(asked.mapInArrow(_pack(scale, QUERIES), _BLOCK).withColumn("q_block", F.monotonically_increasing_id()))
     # A stated set of queries against all rows, in blocks: each block of queries goes to each block of candidates.
     q_blocks = asked.groupBy("dim").agg(F.collect_list("q_block").alias("q_blocks"))

@@ -436,6 +436,16 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(frame.where("false")).collect() == []
 
 
+def test_repeated_queries_take_a_valid_row(spark):
+    good = [1.0, 2.0]
+    for bad in (None, [None, 1.0], [float("nan"), 1.0], [float("inf"), 1.0], [-float("inf"), 1.0]):
+        rows = [(20, bad), (20, bad), (20, good), (20, bad), (1, [1.0, 1.0]), (40, good), (40, bad)]
+        for given_rows in (rows, rows[::-1]):
+            frame = spark.createDataFrame(given_rows, "vec_id long, embedding array<double>").coalesce(1)
+            got = {(r["query_id"], r["vec_id"]) for r in topk.top_k(frame).collect()}
+            assert got == {(20, 1), (20, 40), (40, 1), (40, 20)}
+
+
 def test_large_components_stay_exact(spark):
     rows = [(i, [float(1 << 24) + i, float(3 - i)]) for i in range(30)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
