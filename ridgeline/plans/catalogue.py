@@ -310,6 +310,11 @@ def seg_reduce_all(spark: SparkSession, d: str) -> DataFrame:
     return rounded(user_segments(spark, d).reduce_all("plus", scope=Scope(between=(None, 50))), 2)
 
 
+@query(f"SELECT round(sum(v), 2) AS value FROM {_USERS}")
+def seg_reduce_every(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(user_segments(spark, d).reduce_all("plus"), 2)
+
+
 @query(f"SELECT seg, loc, round(sum(v) OVER (PARTITION BY seg ORDER BY loc), 2) AS scan FROM {_USERS}")
 def seg_scan_inclusive(spark: SparkSession, d: str) -> DataFrame:
     return rounded(user_segments(spark, d).scan().select("seg", "loc", "scan"), 2)
