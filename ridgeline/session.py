@@ -26,17 +26,47 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, **conf: str) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset a temporary folder serves, but only where driver and executors are one machine;
+    elsewhere executors would not see each other's files, so this raises RuntimeError.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get().rstrip("/")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ridgeline-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Folders of the session's workspaces, in the order of their making.
+_ROOTS: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def sweep(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables of all workspaces made after the first `since` of them.
+
+    A frame that an operator returns may still read such tables, so its rows must have been written
+    or collected. roots() tells how many workspaces there are.
+    """
+    while len(_ROOTS) > since:
+        _delete(spark, _ROOTS.pop())
+
+
+def roots() -> int:
+    """How many workspaces have been made and not been swept."""
+    return len(_ROOTS)
+
+
 class Workspace:
     """Tables written to the shared folder to cut lineage, with removal of those that are no longer read."""
 
@@ -44,7 +74,8 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
-        self.paths: dict[int, str] = {}
+        self.written: list[tuple[DataFrame, str]] = []
+        _ROOTS.append(self.root)
 
     def write(self, df: DataFrame) -> DataFrame:
         """Writes df once and returns a frame that reads the written table."""
@@ -52,7 +83,7 @@ class Workspace:
         path = f"{self.root}/{self.count}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.written.append((out, path))
         return out
 
     def measured(self, df: DataFrame, **aggregates: Column) -> tuple[DataFrame, dict]:
@@ -62,9 +93,8 @@ class Workspace:
         return out, seen.get
 
     def drop(self, *frames: DataFrame) -> None:
-        """Deletes the tables behind frames returned by write()."""
-        jvm = self.spark._jvm
+        """Deletes the tables behind frames returned by write(); other frames are left alone."""
         for df in frames:
-            if path := self.paths.pop(id(df), None):
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            for entry in [e for e in self.written if e[0] is df]:
+                self.written.remove(entry)
+                _delete(self.spark, entry[1])
