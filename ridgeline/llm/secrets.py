@@ -3,7 +3,8 @@
 Each rule's regular expression gives a Boolean query over the trigrams that its matches must hold
 (lower-cased). The index has a posting for each document and each trigram that some rule asks for;
 intersected postings give a rule's candidates, and only these are searched with the expression.
-Rules without mandatory trigrams search every text.
+Rules without mandatory trigrams search every text. Texts stay where they are read but for those that
+hold the rarest trigram of a clause; of these rows alone texts meet their candidates in an exchange.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.session import Workspace
+
 _parser = re._parser  # the standard library's own parse of a regular expression
 _MOST = 128
 
@@ -144,47 +147,93 @@ def _spans(text: Column, rule: Rule, kind: int) -> Column:
     return F.when(F.regexp_like(text, pattern), F.aggregate(parts, state, step)["out"]).otherwise(empty)
 
 
-def candidates(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(row_key, rules): for each row whose trigrams satisfy the query of a rule, the bits of these rules.
+def _clauses(rules: tuple[Rule, ...]) -> list[tuple[int, frozenset[str]]]:
+    """(rule, trigrams that must stand together) of all rules that have mandatory trigrams, in one order."""
+    return [(i, c) for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) != _ANY for c in sorted(q, key=sorted)]
+
+
+def _strings(values: list[str]) -> Column:
+    """A constant array of strings, as one expression."""
+    quoted = ("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"array({', '.join(quoted)})").cast("array<string>")
+
+
+def postings(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The inverted index of rows (row_key, text): (gram, row_key) for every trigram that a rule asks for and the lower-cased text holds."""
+    grams = sorted(set().union(*(c for _, c in _clauses(rules))))
+    low = rows.select("row_key", F.lower("text").alias("low"))
+    return low.select(F.explode(F.filter(_strings(grams), lambda g: F.contains(F.col("low"), g))).alias("gram"), "row_key")
+
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(row_key, rules): for each row of the postings (gram, row_key) that satisfy the query of a rule, the bits of these rules.
 
-    rows: row_key, text. Rows with equal keys count as one.
+    Rows with equal keys count as one. Postings are counted by row and clause, first where they are
+    read, so only counts are exchanged and a very common trigram is no hot key.
     """
-    queries = [(i, q) for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) != _ANY]
-    clauses = [(i, c) for i, q in queries for c in sorted(q, key=sorted)]
+    clauses = _clauses(rules)
+    if not clauses:
+        return index.select("row_key", F.lit(0).cast("long").alias("rules")).where("false")
     grams = sorted(set().union(*(c for _, c in clauses)))
-    low = rows.select("row_key", F.lower("text").alias("low"))
-    words = [grams[i : i + 62] for i in range(0, len(grams), 62)]
-    masks = [F.lit(0).cast("long") if not w else sum((F.when(F.contains("low", F.lit(g)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, g in enumerate(w)), F.lit(0).cast("long")) for w in words]
-    held = low.select("row_key", *(m.alias(f"m{i}") for i, m in enumerate(masks)))
-    bits = [F.expr(f"transform(filter(sequence(0, {len(w) - 1}), g -> (shiftright(m{i}, g) & 1L) = 1L), g -> g + {i * 62})") for i, w in enumerate(words)]
-    ids = F.flatten(F.array(*bits))
-    postings = held.select("row_key", F.explode(ids).alias("gram"))
     # The clauses that ask for a trigram: a constant list, as long as the rules make it.
-    asks = F.element_at(F.create_map(*(x for g, gram in enumerate(grams) for x in (F.lit(g), F.array(*(F.lit(k) for k, (_, c) in enumerate(clauses) if gram in c))))), F.col("gram"))
-    need = F.element_at(F.array(*(F.lit(len(c)) for _, c in clauses)), F.col("clause") + 1)
-    rule = F.element_at(F.array(*(F.lit(1 << i).cast("long") for i, _ in clauses)), F.col("clause") + 1)
-    met = postings.select("row_key", "gram", F.explode(asks).alias("clause")).groupBy("row_key", "clause").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need)
+    lists = ", ".join("array(" + ", ".join(str(k) for k, (_, c) in enumerate(clauses) if g in c) + ")" for g in grams)
+    asks = F.element_at(F.map_from_arrays(_strings(grams), F.expr(f"array({lists})")), F.col("gram"))
+    need = F.expr(f"element_at(array({', '.join(str(len(c)) for _, c in clauses)}), clause + 1)")
+    rule = F.expr(f"element_at(array({', '.join(f'{1 << i}L' for i, _ in clauses)}), clause + 1)")
+    met = index.select("row_key", "gram", F.explode(asks).alias("clause")).groupBy("row_key", "clause").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need)
     return met.groupBy("row_key").agg(F.bit_or(rule).alias("rules"))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """docs with secret_spans: (start, kind, end) of every secret, kind an index into rules, sorted by start and kind.
+def _anchors(index: DataFrame, rules: tuple[Rule, ...]) -> list[str]:
+    """The trigram with the shortest list of postings of each clause that can be met: every candidate holds one of them."""
+    sizes = {r["gram"]: r["count"] for r in index.groupBy("gram").count().collect()}  # a row for each trigram of the rules at most
+    found = [min((sizes.get(g, 0), g) for g in c) for _, c in _clauses(rules)]
+    return sorted({g for n, g in found if n})
 
-    Places are in code points, the end exclusive; spans of different kinds may overlap. A null text
-    counts as empty. All rows and columns stay as they are, also rows that repeat; of the columns only
-    `secret_spans` must not be there. An empty table gives an empty result.
-    """
+
+def _unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, longer where docs has them; column names are compared without regard to case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...], text: str, spans: str) -> DataFrame:
+    """docs and the column `spans`. Texts without an anchor are searched where they are read; only those of possible candidates are exchanged."""
+    key, bits = _unused(docs, spans, "row_key", "rule_bits")[1:]
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     # Rows that share a key share their candidates, and more candidates than needed do no harm. doc_id keeps copies of a text apart.
     own = [F.col("doc_id")] if "doc_id" in docs.columns else []
-    keyed = docs.withColumn("__row_key", F.xxhash64(body, *own))
-    found = candidates(keyed.select(F.col("__row_key").alias("row_key"), body.alias("text")), rules).withColumnRenamed("row_key", "__row_key").withColumnRenamed("rules", "__rules")
-    joined = keyed.join(found, "__row_key", "left")
-    full = [i for i, r in enumerate(rules) if trigram_query(r.pattern) == _ANY]
-    bits = F.coalesce(F.col("__rules"), F.lit(0).cast("long"))
+    work = Workspace(docs.sparkSession, "secrets")
+    index = work.write(postings(docs.select(F.xxhash64(body, *own).alias("row_key"), body.alias("text")), rules))
+    found = work.write(candidates(index, rules)).select(F.col("row_key").alias(key), F.col("rules").alias(bits))
+    anchors = _anchors(index, rules)
+    work.drop(index)
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    each = [_spans(body, r, i) if i in full else F.when(bits.bitwiseAND(F.lit(1 << i).cast("long")) != 0, _spans(body, r, i)).otherwise(none) for i, r in enumerate(rules)]
-    return joined.withColumn("secret_spans", F.sort_array(F.concat(*each))).drop("__row_key", "__rules")
+    # Lower-cased once: the function binds it to a name.
+    possible = F.exists(F.array(F.lower(body)), lambda low: F.exists(_strings(anchors), lambda g: F.contains(low, g)))
+    full = [i for i, r in enumerate(rules) if trigram_query(r.pattern) == _ANY]
+    everywhere = docs.where(~possible).withColumn(spans, F.sort_array(F.concat(none, *(_spans(body, rules[i], i) for i in full))))
+    joined = docs.where(possible).withColumn(key, F.xxhash64(body, *own)).join(found, key, "left").withColumn(bits, F.coalesce(F.col(bits), F.lit(0).cast("long")))
+    each = [_spans(body, r, i) if i in full else F.when(F.col(bits).bitwiseAND(F.lit(1 << i).cast("long")) != 0, _spans(body, r, i)).otherwise(none) for i, r in enumerate(rules)]
+    return everywhere.unionByName(joined.withColumn(spans, F.sort_array(F.concat(none, *each))).select(*(f"`{c}`" for c in docs.columns), spans))
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """docs with secret_spans: (start, kind, end) of every secret, kind an index into rules, sorted by start and kind.
+
+    Places are in code points, the end exclusive; spans of different kinds may overlap. A null text
+    counts as empty. All rows and columns stay as they are, also rows that repeat; a column
+    `secret_spans` must not be there (ValueError). An empty table gives an empty result. A text of
+    any length is searched whole.
+    """
+    if _unused(docs, "secret_spans") != ["secret_spans"]:
+        raise ValueError("a column secret_spans is there already")
+    return _scanned(docs, rules, text, "secret_spans")
 
 
 def rendered(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -202,8 +251,13 @@ def summary(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", text: str = "text") -> DataFrame:
-    """docs with every secret of the text replaced by mark; overlapping secrets give one mark. Null texts stay null."""
-    found = scan(docs, text=text)
+    """docs with every secret of the text replaced by mark; overlapping secrets give one mark.
+
+    All rows and columns stay, whatever their names, and rows that repeat come back as often. Null
+    texts stay null, empty ones empty; an empty table gives an empty result.
+    """
+    (spans,) = _unused(docs, "secret_spans")
+    found = _scanned(docs, RULES, text, spans)
     body = F.col(text).cast("string")
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -214,8 +268,8 @@ def redact(docs: DataFrame, mark: str = "[secret]", text: str = "text") -> DataF
     def done(acc: Column) -> Column:
         return F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body)))
 
-    clean = F.when(F.size("secret_spans") > 0, F.aggregate("secret_spans", state, step, done)).otherwise(body)
-    return found.withColumn(text, clean).drop("secret_spans")
+    clean = F.when(F.size(spans) > 0, F.aggregate(spans, state, step, done)).otherwise(body)
+    return found.withColumn(text, clean).select(*(f"`{c}`" for c in docs.columns))
 
 
 def oracle_sql() -> str:
