@@ -98,3 +98,10 @@ class Workspace:
             for entry in [e for e in self.written if e[0] is df]:
                 self.written.remove(entry)
                 _delete(self.spark, entry[1])
+
+    def close(self) -> None:
+        """Deletes all tables of this workspace."""
+        self.written.clear()
+        if self.root in _ROOTS:
+            _ROOTS.remove(self.root)
+        _delete(self.spark, self.root)
