@@ -1,6 +1,7 @@
 """Training-data operators against brute force, round trips and held-out labels, with nulls, empty and long texts, ties, repeats, empty tables and extra columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import tracemalloc
@@ -85,12 +86,72 @@ def test_near_duplicates(spark, width, percent, seed):
     assert all(sizes[i] == len(_text.shingle_set(t or "", width)) for i, t in rows)
 
 
-def test_near_duplicates_bucket_by_bucket(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "GROUP", 3)
-    monkeypatch.setattr(minhash, "BLOCK", 4)
+def test_near_duplicates_in_many_blocks(spark, monkeypatch):
+    """The same results however small the blocks are, with and without rounds of drawn documents."""
     rows = near_copies(4, 4, 40, 60)
-    got = minhash.near_duplicates(docs_of(spark, rows), 3, 85).collect()
-    assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows, 3, 85)
+    want = brute_components(rows, 3, 85)
+    for rounds, block, shingles in ((0, 4, 1 << 20), (0, 512, 150), (2, 4, 300)):
+        for name, value in (("ROUNDS", rounds), ("BLOCK", block), ("BLOCK_SHINGLES", shingles), ("KEPT_SHINGLES", 50)):
+            monkeypatch.setattr(minhash, name, value)
+        got = minhash.near_duplicates(docs_of(spark, rows), 3, 85).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def drifted(older=60, copies=120, words=400, seed=5):
+    """Older versions of a text, each far enough from all others, and copies of its last version with larger ids that are near one another."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    base = rng.choices(vocabulary, k=words)
+
+    def changed(n):
+        out = list(base)
+        for k in rng.sample(range(words), n):
+            out[k] = rng.choice(vocabulary)
+        return " ".join(out)
+
+    return list(enumerate([changed(14) for _ in range(older)] + [changed(4) for _ in range(copies)]))
+
+
+def test_near_copies_behind_older_versions_verify_few_pairs(spark, monkeypatch):
+    rows = drifted()
+    sizes = []
+    original = minhash._links
+
+    def counted(pairs, *rest):
+        sizes.append(pairs.count())
+        return original(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "_links", counted)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(spark, rows), 3, 85).collect()}
+    assert got == brute_components(rows, 3, 85)
+    assert sum(sizes) <= 2 * minhash.BANDS * len(rows)  # 32,220 pairs in all
+
+
+def test_forest_joins_what_links_join():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        left, right = rng.integers(0, 6, 8), rng.integers(0, 6, 10)
+        near = (rng.random((8, 10)) < 0.1) & (left[:, None] != right)
+
+        def parts(pairs):
+            root = list(range(6))
+            for i, j in pairs:
+                a, b = root[left[i]], root[right[j]]
+                root = [a if r == b else r for r in root]
+            return [[r == s for s in root] for r in root]
+
+        found = minhash._forest(near, left, right)
+        assert all(near[i, j] for i, j in found)
+        assert parts(found) == parts(np.argwhere(near).tolist())
+        assert len(found) == 6 - len(np.unique([str(r) for r in parts(found)]))
+
+
+def test_repeated_ids_keep_the_row_of_the_least_text(spark):
+    rows = [(1, "b b b b b b", 3), (1, "a a a a a a", 2), (1, "a a a a a a", 1), (2, None, 9), (2, "zz", 8), (None, "b b b b b b", 4)]
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, "doc_id long, text string, c0 int")
+        assert sorted(map(tuple, minhash.deduplicate(frame).collect()), key=str) == sorted([(1, "a a a a a a", 1), (2, None, 9), (None, "b b b b b b", 4)], key=str)
+    assert minhash.deduplicate(frame.where("false")).collect() == []
 
 
 def test_near_duplicates_repeats_nulls_and_nothing(spark):
@@ -122,7 +183,7 @@ def test_blocks_keep_whole_hashes(monkeypatch):
     held = [np.arange(1, 18), np.arange(1, 21), np.arange(1, 17)]
     flat, at = np.concatenate(held).astype(np.uint64), np.append(0, np.cumsum([len(x) for x in held]))
     monkeypatch.setattr(_text, "shingle_hashes", lambda texts, width: (flat, at))
-    rows = {"unit": [1] * 3, "block": [0] * 3, "id": [1, 2, 3], "asks": [False, True, False], "comp": [1, 2, 3], "text": ["a", "b", "c"]}
+    rows = {"bucket": [1] * 3, "block": [0] * 3, "id": [1, 2, 3], "asks": [False, True, False], "comp": [1, 2, 3], "text": ["a", "b", "c"]}
     found = pa.Table.from_batches(minhash._block_links(85)(minhash._sets(3)(iter([pa.RecordBatch.from_pydict(rows)]))))
     assert found.to_pylist() == [{"a": 2, "b": 1}]
 
@@ -376,23 +437,82 @@ def test_search_empties_bins():
     assert sum(bins.values()) == 2
 
 
-def test_packing_of_rows(spark, monkeypatch):
-    monkeypatch.setattr(packing, "RANKED_TOGETHER", 3)
-    rows = [(i, "word " * n) for i, n in enumerate([0, 1, 5, 5, 5, 5, 5, 5, 30, 64, 200, 31, 32])] + [(50, None), (3, "word " * 5)]
-    got = packing.pack_documents(docs_of(spark, rows), limit=32).collect()
-    by_sequence = {}
+def test_search_ends_where_no_exchange_helps():
+    """The search empties bins that best fit leaves, and after it no move, one-for-one or two-for-one swap adds to squared fill."""
+    rng = random.Random(9)
+    fewer = 0
+    for _ in range(60):
+        counts = {}
+        for _ in range(rng.randint(5, 40)):
+            x = rng.choice((rng.randint(25, 60), rng.randint(1, 100)))
+            counts[x] = counts.get(x, 0) + 1
+        first = packing.best_fit(counts, 100)
+        bins = packing.improve(first, 100)
+        fewer += sum(first.values()) - sum(bins.values())
+        assert {x: sum(b.count(x) * n for b, n in bins.items()) for x in counts} == counts
+        if sum(bins.values()) == -(-sum(x * n for x, n in counts.items()) // 100):
+            continue
+        flat = [b for b, n in bins.items() for _ in range(n) if sum(b) < 100]
+        for g in range(len(flat)):
+            for t in range(len(flat)):
+                if g == t:
+                    continue
+                for give in [(x,) for x in flat[g]] + list(itertools.combinations(flat[g], 2)):
+                    for take in [()] + [(y,) for y in flat[t]] + list(itertools.combinations(flat[t], 2)):
+                        if len(give) + len(take) > 3 or (len(give) == 2 and not take):
+                            continue
+                        shift = sum(give) - sum(take)
+                        grows = shift * (shift - sum(flat[g]) + sum(flat[t])) > 0
+                        assert not (0 < shift <= 100 - sum(flat[t]) and grows)
+    assert fewer > 0
+
+
+def packed_like(rows, got, tokenizer, limit):
+    """Holds rows of pack_documents() to the contract, with ids of the library."""
+    by_sequence, by_doc = {}, {}
     for r in got:
         by_sequence.setdefault(r["sequence_id"], []).append(r)
+        by_doc.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
     for s in by_sequence.values():
         at = 0
         for r in sorted(s, key=lambda r: r["offset"]):
             assert r["offset"] == at
             at += r["length"]
-        assert at <= 32
-    assert sum(r["length"] for r in got) == sum(len((t or "").split()) + 1 for _, t in rows)
+        assert at <= limit
+    want = {}
+    for i, t in rows:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want.setdefault(i, []).extend((k // limit, k, len(ids[k : k + limit]), zlib.crc32(ids[k : k + limit].tobytes())) for k in range(0, len(ids), limit))
+    assert {i: sorted(x) for i, x in by_doc.items()} == {i: sorted(x) for i, x in want.items()}
+    return len(by_sequence), -(-sum(r["length"] for r in got) // limit)
+
+
+def test_packing_of_rows(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED_TOGETHER", 3)
+    rows = [(i, "word " * n) for i, n in enumerate([0, 1, 5, 5, 5, 5, 5, 5, 30, 64, 200, 31, 32])] + [(50, None), (3, "word " * 5), (None, "word word")] + [(k, "five words are in here") for k in range(60, 90)]
+    number, least = packed_like(rows, packing.pack_documents(docs_of(spark, rows), limit=32).collect(), tokenizer, 32)
+    assert number <= least + 1
     assert packing.pack_documents(docs_of(spark, [])).collect() == []
 
 
+def test_packing_query_equals_library(spark, tokenizer):
+    rows = [(r["doc_id"], r["text"]) for r in table("documents")]
+    number, least = packed_like(rows, queries()["op7_packing"](spark, DIR).collect(), tokenizer, 2048)
+    assert number == least
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    names = ["part", "rank", "before", "count", "file", "row", "block", "c1", "a.b", "Offset"]
+    frame = spark.createDataFrame([(x, *range(10)) for x in (3, 3, 5, 9, 1)], "length int, " + ", ".join(f"`{n}` int" for n in names))
+    got = packing.pack(frame, 10)
+    assert got.columns == ["length", *names[:-1], "sequence_id", "offset"]
+    rows = got.collect()
+    assert sorted(r["length"] for r in rows) == [1, 3, 3, 5, 9] and all(r["part"] == 0 and r["c1"] == 7 for r in rows)
+    for bad in (None, 0, 11):
+        with pytest.raises(ValueError, match="lengths"):
+            packing.pack(spark.createDataFrame([(bad,)], "length int"), 10)
+
+
 # Chats.
 
 
