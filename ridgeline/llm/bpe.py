@@ -2,13 +2,16 @@
 
 Texts of a batch become one array of code points. Word boundaries follow the tokenizer's own
 pattern (letters, single numbers, other symbols, English contractions) and are found by character
-class, a hash of each word finds its ids in a sorted table of words met before, and the words that
-are new are merged together: their symbols lie in one flat array, and each round looks up all
-neighbouring pairs by binary search in the sorted pair keys and merges every word's pair of lowest rank.
+class, a hash of each word finds its ids in a sorted table of words met before (whose letters are then
+compared), and the words that are new are merged together: their symbols lie in one flat array, and
+each round looks up neighbouring pairs by binary search in the sorted pair keys. Rounds of short words
+merge every word's pair of lowest rank. Rounds of long words go by rank over all of them and look up
+only the pairs beside a merge, so the work grows with the number of letters, not with its square.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator, Sequence
@@ -28,6 +31,8 @@ from ridgeline.llm import _text
 _LETTER, _NUMBER, _SPACE, _LAST = 1, 2, 3, 0x40000
 #: Words kept between batches; beyond it the table starts anew.
 KEEP_WORDS = 400_000
+#: Bytes from which a word's rounds look up only the pairs beside a merge.
+LONG_WORD = 64
 _CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 _NO_RANK = np.iinfo(np.int64).max
 
@@ -71,6 +76,12 @@ def _byte_symbols() -> list[str]:
     return out
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all spans, one after the other."""
+    at = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) + np.repeat(starts - at, sizes)
+
+
 class WordBpe:
     """A word-end byte-pair vocabulary with the normaliser, the word pattern and the special tokens of its file."""
 
@@ -87,6 +98,7 @@ class WordBpe:
         made = np.array([vocabulary[a + b] for a, b in merges], np.int64)
         order = np.argsort(keys, kind="stable")
         self.pair_keys, self.pair_rank, self.pair_made = keys[order], order.astype(np.int64), made[order]
+        self.made_by_rank = made
         symbols = _byte_symbols()
         self.first = np.array([vocabulary[s] for s in symbols], np.int64)
         self.last = np.array([vocabulary[s + end] for s in symbols], np.int64)
@@ -106,9 +118,86 @@ class WordBpe:
         self.known_start = np.zeros(0, np.int64)
         self.known_size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int64)
+        self.letter_start = np.zeros(0, np.int64)
+        self.letter_size = np.zeros(0, np.int64)
+        self.letters = np.zeros(0, np.uint32)
 
     def merge_words(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words whose UTF-8 bytes lie one after the other in data, and how many each word has."""
+        long = sizes > LONG_WORD
+        if not long.any():
+            return self._merge_short(data, sizes)
+        inside = np.repeat(long, sizes)
+        parts = [self._merge_short(data[~inside], sizes[~long]), self._merge_long(data[inside], sizes[long])]
+        counts = np.empty(len(sizes), np.int64)
+        for mask, (_, got) in zip((~long, long), parts, strict=True):
+            counts[mask] = got
+        out = np.empty(counts.sum(), np.int64)
+        owner = np.repeat(long, counts)
+        for mask, (ids, _) in zip((~owner, owner), parts, strict=True):
+            out[mask] = ids
+        return out, counts
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids; pairs that are no merge have _NO_RANK."""
+        keys = left * self.size + right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_rank[at], _NO_RANK)
+
+    def _merge_long(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """merge_words() by rank: all pairs of the lowest rank of any word merge together, and only the pairs beside them are looked up anew.
+
+        Words do not touch, so each word's own order of merges is kept.
+        """
+        n = len(data)
+        ends = np.cumsum(sizes)
+        ids = self.first[data]
+        ids[ends - 1] = self.last[data[ends - 1]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # the neighbouring symbols of the word, -1 where there is none
+        after[ends - 1], before[ends - sizes] = -1, -1
+        rank = np.full(n, _NO_RANK)  # of the pair that starts at a symbol
+        alive = np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def look_up(places: np.ndarray) -> None:
+            found = rank[places] = self._ranks(ids[places], ids[after[places]])
+            places, found = places[found != _NO_RANK], found[found != _NO_RANK]
+            order = np.argsort(found, kind="stable")
+            places, found = places[order], found[order]
+            cuts = np.flatnonzero(found[1:] != found[:-1]) + 1
+            for part in np.split(places, cuts) if len(places) else ():
+                r = int(rank[part[0]])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(part)
+
+        look_up(np.flatnonzero(after >= 0))
+        while ranks:
+            r = heapq.heappop(ranks)
+            places = np.unique(np.concatenate(waiting.pop(r)))
+            places = places[alive[places] & (rank[places] == r)]
+            if not len(places):
+                continue
+            # Overlapping occurrences (a a a): in a run of neighbours every second one counts, from the left.
+            begins = np.append(True, after[places[:-1]] != places[1:])
+            index = np.arange(len(places))
+            places = places[(index - np.maximum.accumulate(np.where(begins, index, 0))) % 2 == 0]
+            right = after[places]
+            far = after[right]
+            ids[places] = self.made_by_rank[r]
+            alive[right] = False
+            rank[right] = rank[places] = _NO_RANK
+            after[places] = far
+            has = far >= 0
+            before[far[has]] = places[has]
+            left = before[places]
+            look_up(np.unique(np.concatenate((places[has], left[left >= 0]))))
+        return ids[alive], np.add.reduceat(alive.astype(np.int64), ends - sizes)
+
+    def _merge_short(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """merge_words() with all words in each round; a word of n bytes ends after n - 1 rounds at most."""
         ends = np.cumsum(sizes)
         ids = self.first[data]
         ids[ends - 1] = self.last[data[ends - 1]]
@@ -229,21 +318,40 @@ class WordBpe:
                 self._reset()
                 missing[:] = True
             new = where[missing]
-            words = [points[s:e].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace") for s, e in zip(starts[new], ends[new], strict=True)]
-            sizes = np.fromiter(map(len, words), np.int64, len(words))
-            ids, counts = self.merge_words(np.frombuffer(b"".join(words), np.uint8), sizes)
-            begin = len(self.flat) + np.cumsum(counts) - counts
-            self.flat = np.concatenate((self.flat, ids))
+            ids, counts = self._merged(points, starts[new], ends[new])
             place = np.searchsorted(self.known, unique[missing])
-            self.known = np.insert(self.known, place, unique[missing])
-            self.known_start = np.insert(self.known_start, place, begin)
-            self.known_size = np.insert(self.known_size, place, counts)
+            size = ends[new] - starts[new]
+            for name, values in (("known", unique[missing]), ("known_start", len(self.flat) + np.cumsum(counts) - counts), ("known_size", counts), ("letter_start", len(self.letters) + np.cumsum(size) - size), ("letter_size", size)):
+                setattr(self, name, np.insert(getattr(self, name), place, values))
+            self.flat = np.concatenate((self.flat, ids))
+            self.letters = np.concatenate((self.letters, points[_spread(starts[new], size)]))
             found = np.searchsorted(self.known, unique)
-        word_start, word_size = self.known_start[found][inverse], self.known_size[found][inverse]
-        token_at = np.zeros(len(word_size) + 1, np.int64)
-        np.cumsum(word_size, out=token_at[1:])
-        source = np.arange(token_at[-1]) + np.repeat(word_start - token_at[:-1], word_size)
-        return self.flat[source], token_at[first_word]
+        entry = found[inverse]
+        word_start, word_size = self.known_start[entry], self.known_size[entry]
+        flat = self.flat
+        other = self._others(points, starts, ends, entry)
+        if len(other):  # another word with the same hash: merged by itself
+            ids, counts = self._merged(points, starts[other], ends[other])
+            word_start[other], word_size[other] = len(flat) + np.cumsum(counts) - counts, counts
+            flat = np.concatenate((flat, ids))
+        token_at = np.append(0, np.cumsum(word_size))
+        return flat[_spread(word_start, word_size)], token_at[first_word]
+
+    def _merged(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words = [points[s:e].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace") for s, e in zip(starts, ends, strict=True)]
+        return self.merge_words(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)))
+
+    def _others(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """The words whose letters are not those of their entry."""
+        size = ends - starts
+        other = size != self.letter_size[entry]
+        same = np.flatnonzero(~other)
+        if len(same):
+            differs = points[_spread(starts[same], size[same])] != self.letters[_spread(self.letter_start[entry[same]], size[same])]
+            if differs.any():
+                at = np.cumsum(size[same]) - size[same]
+                other[same] = np.logical_or.reduceat(differs, at)
+        return np.flatnonzero(other)
 
     def ids_text(self, ids: np.ndarray) -> str:
         """Decimal ids joined by one blank."""
@@ -318,10 +426,14 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """Texts of token ids: (doc_id, text) of (doc_id, ids). Null ids give an empty text."""
+    """Texts of token ids: (doc_id, text) of (doc_id, ids), a row for each row. Null or no ids give an empty text; an empty table gives an empty result."""
     return encoded.select("doc_id", "ids").mapInArrow(_decode(path), "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """What encode() and decode() give, as counts and digests in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """What encode() and decode() give, as counts and digests in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    A row for each row of docs (doc_id, text), also where rows repeat or have no doc_id; other columns
+    are ignored. A null or empty text has no ids. An empty table gives an empty result.
+    """
     return _pair(docs).mapInArrow(_digest(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

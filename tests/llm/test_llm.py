@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import tracemalloc
 import zlib
 
@@ -357,6 +358,44 @@ def test_small_word_table_changes_nothing(tokenizer):
         assert tiny.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_long_words(tokenizer, monkeypatch):
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzéß", k=n)) for n in (63, 64, 65, 66, 300, 20000)] + ["a" * 777, "ab" * 500, "aab" * 300, "!" * 200, "日本語" * 50, "the" * 4000]
+    texts += [" ".join(rng.choices(texts[:5] + ["short", "x"], k=30))]
+    for long in (64, 0):
+        monkeypatch.setattr(bpe, "LONG_WORD", long)
+        flat, at = bpe.WordBpe().encode(texts)
+        for i, text in enumerate(texts):
+            assert flat[at[i] : at[i + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    documents = [r["text"] for r in table("documents")[:40]]
+    flat, at = bpe.WordBpe().encode(documents)  # every word by rank
+    assert [flat[at[i] : at[i + 1]].tolist() for i in range(40)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in documents]
+
+
+def test_work_on_a_long_word_is_not_quadratic():
+    rng = random.Random(8)
+    word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=400_000))
+    start = time.thread_time()
+    BPE.encode([word])
+    assert time.thread_time() - start < 60  # each round over the whole word would take hours
+
+
+def test_words_with_one_hash_are_told_apart(tokenizer, monkeypatch):
+    monkeypatch.setattr(_text, "span_hashes", lambda points, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    texts = ["one two six ten the cat sat", "six one cats dogs", "a b c d"]
+    fresh = bpe.WordBpe()
+    for _ in range(2):
+        flat, at = fresh.encode(texts)
+        assert [flat[at[i] : at[i + 1]].tolist() for i in range(3)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_bpe_query_equals_library(spark, tokenizer):
+    ids = {r["doc_id"]: tokenizer.encode(r["text"] or "", add_special_tokens=False).ids for r in table("documents")}
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in queries()["op5_bpe"](spark, DIR).collect()}
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got == {i: (len(x), digest(" ".join(map(str, x))), digest(tokenizer.decode(x, skip_special_tokens=False))) for i, x in ids.items()}
+
+
 # Secrets.
 
 
