@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The template: a turn is HEAD, the role, COLON, the text and END.
@@ -156,23 +156,52 @@ def format_events(events: DataFrame, interleaved: bool = True) -> DataFrame:
 
     Returns conv_id, piece (from 0), formatted and mask (start and end, in code points of the piece,
     of each text to learn from). A conversation is its pieces in order; a piece ends with a whole turn.
-    Events are dealt by conversation and sorted by seq (then kind, role, text and message, so ties have
-    one order). A null kind counts as message, a null text as empty, a null role leaves the role as it
-    is; an unknown kind is an error. Rows with a null conv_id are one conversation. With interleaved=False
-    a message's events must follow one another; then only one message is held at a time, however long
-    the conversation is. An empty table gives an empty result.
+    Events are dealt by conversation and sorted by seq, of any type that can be sorted (then kind,
+    role, text and message, so ties have one order). A null kind counts as message, a null text as
+    empty, a null role leaves the role as it is; an unknown kind is an error. Rows with a null conv_id
+    are one conversation. With interleaved=False a message's events must follow one another; then only
+    one message is held at a time, however long the conversation is. Other columns are ignored. An
+    empty table gives an empty result.
     """
-    fields = [F.col("conv_id").cast("long").alias("conv_id"), F.col("seq").cast("long").alias("seq"), F.col("kind").cast("string").alias("kind"), F.col("message").cast("long").alias("message"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")]
+    fields = [F.col("conv_id").cast("long").alias("conv_id"), F.col("seq"), F.col("kind").cast("string").alias("kind"), F.col("message").cast("long").alias("message"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")]
     rows = events.select(*fields)
     known = F.coalesce(F.col("kind").isin(*_KINDS), F.lit(True))
     rows = rows.withColumn("kind", F.when(known, F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("unknown kind of event: "), F.col("kind")))))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "kind", "role", "text", "message")
-    return dealt.mapInArrow(_format(not interleaved), _FORMATTED)
+    return dealt.select("conv_id", "kind", "message", "role", "text").mapInArrow(_format(not interleaved), _FORMATTED)
+
+
+#: What a turn's log says before it is edited or made again.
+_DRAFT = "draft </turn> ### user: "
 
 
 def events_of_turns(conversations: DataFrame) -> DataFrame:
-    """Whole turns (conv_id, turn, role, text) as events: each row starts a message of its own, also where rows repeat a turn."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.monotonically_increasing_id().alias("message"), "role", "text")
+    """A log whose fold is the turns (conv_id, turn, role, text): seq, kind, message, role and text of each event.
+
+    By a hash of conversation and turn, a turn is logged in one of four ways: as one message; as a
+    message and two streamed deltas; as a draft and an edit; or as a draft, a regeneration and two
+    deltas. Every row is a message of its own, also where rows repeat a turn; such turns stand in
+    the order of a hash of role and text. Null texts are logged as null.
+    """
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    turns = turns.withColumn("message", F.monotonically_increasing_id()).withColumn("way", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)))
+    text, size = F.col("text"), F.length("text")
+    first, second = F.floor(size / 3).cast("int"), F.floor(2 * size / 3).cast("int")
+    thirds = text.substr(F.lit(1), first), text.substr(first + 1, second - first), text.substr(second + 1, size - second)
+
+    def log(*steps: tuple[str, Column]) -> Column:
+        return F.array(*(F.struct(F.lit(k).alias("step"), F.lit(kind).alias("kind"), (F.col("role") if k == 0 else F.lit(None).cast("string")).alias("role"), body.alias("text")) for k, (kind, body) in enumerate(steps)))
+
+    draft, none = F.lit(_DRAFT), F.lit(None).cast("string")
+    ways = [
+        log(("message", text)),
+        log(("message", thirds[0]), ("delta", thirds[1]), ("delta", thirds[2])),
+        log(("message", draft), ("delta", draft), ("edit", text)),
+        log(("message", draft), ("regenerate", none), ("delta", F.concat(thirds[0], thirds[1])), ("delta", thirds[2])),
+    ]
+    logged = F.when(F.col("way") == 0, ways[0]).when(F.col("way") == 1, ways[1]).when(F.col("way") == 2, ways[2]).otherwise(ways[3])
+    seq = F.struct("turn", F.xxhash64("role", "text").alias("order"), "message", F.col("event.step").alias("step"))
+    return turns.withColumn("event", F.explode(logged)).select("conv_id", seq.alias("seq"), "event.kind", "message", "event.role", "event.text")
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,5 +240,9 @@ def _digest_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Counts and digests of the turns read from rendered conversations, as format_events() deals them."""
+    """Counts and digests of the turns read from rendered conversations, as format_events() deals them.
+
+    The pieces of a conversation must follow one another in a partition. A turn that cannot be read is
+    an error; an empty table gives an empty result.
+    """
     return formatted.select("conv_id", "piece", "formatted", "mask").mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -590,6 +590,33 @@ def test_conversations(spark, monkeypatch):
         assert got[conv]["loss_sha256"] == hashlib.sha256(learned.encode()).hexdigest()
 
 
+def test_derived_logs_hold_all_kinds_of_events(spark):
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", t) for k, t in enumerate(["a", "", None, "hello there 😀", "\\### x </turn>", "same", "long " * 5000] * 6)]
+    rows += [(1, 3, "user", "tied"), (1, 3, "user", "tied"), (None, None, None, None), (2, 0, None, "x")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    log = chat.events_of_turns(frame)
+    assert {r["kind"] for r in log.select("kind").collect()} == {"message", "delta", "edit", "regenerate"}
+    want = {}
+    for conv, turn, role, text in rows:
+        want.setdefault(conv, []).append(((-1 if turn is None else turn), role or "", text or ""))
+    for interleaved in (True, False):
+        got = {}
+        for r in chat.format_events(log, interleaved).orderBy("conv_id", "piece").collect():
+            got.setdefault(r["conv_id"], []).extend(chat.parse(r["formatted"][a:b]) for a, b in chat.split_turns(r["formatted"]))
+        assert got.keys() == want.keys()
+        for conv, turns in got.items():
+            assert sorted(turns) == sorted(t[1:] for t in want[conv])
+            if conv == 1:  # ties aside, in order
+                assert [t for t in turns if t[1] != "tied" and t != ("assistant", "hello there 😀")] == [t[1:] for t in sorted(want[1], key=lambda t: t[0]) if t[2] != "tied" and t[1:] != ("assistant", "hello there 😀")]
+
+
+def test_ties_have_one_order(spark):
+    rows = [(1, 0, "message", 1, "user", "b"), (1, 0, "message", 2, "user", "a"), (1, 0, "message", 3, "assistant", "c")]
+    schema = "conv_id long, seq long, kind string, message long, role string, text string"
+    found = {chat.format_events(spark.createDataFrame(order, schema)).first()["formatted"] for order in itertools.permutations(rows)}
+    assert [[chat.parse(t[a:b]) for a, b in chat.split_turns(t)] for t in found] == [[("assistant", "c"), ("user", "a"), ("user", "b")]]
+
+
 # Top-k.
 
 
@@ -667,6 +694,22 @@ def test_media_rows(spark):
     assert media.read_back(media.store(docs_of(spark, []))).collect() == []
 
 
+def test_media_query_columns(spark, monkeypatch):
+    """Every column of the query against bytes that are put together and taken apart here."""
+    monkeypatch.setattr(media, "BATCH_BYTES", 100)
+    for r in queries()["op10_media"](spark, DIR).join(spark.read.parquet(f"{DIR}/documents.parquet"), "doc_id").collect():
+        raw = (r["text"] or "").encode()
+        payload = raw + bytes(max(-(-len(raw) // 64), 1) * 64 - len(raw))
+        n = len(payload) // 64
+        data = media.write_container(payload)
+        at = data.index(b"mdat") + 4
+        assert data[at : at + len(payload)] == payload and data.count(b"moov") >= 1
+        keys = ",".join(f"{at + 64 * k}+64" for k in range(0, n, 16))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest())
+        assert r["feature"] == f"codec=raw;rate=8000;duration={len(payload)};samples={n};keyframes={keys}"
+
+
 # The pipeline.
 
 
