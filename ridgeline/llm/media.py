@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a sample (64 eight-bit frames), samples of a chunk, samples from one keyframe to the next, frames a second.
 UNIT, CHUNK, GROUP, RATE = 64, 256, 16, 8000
+#: Bytes of texts whose containers are made together.
+BATCH_BYTES = 16 << 20
 #: Box types that hold boxes, with the bytes that come before these.
 _CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"edts": 0, b"udta": 0, b"dinf": 0, b"mvex": 0}
 
@@ -186,11 +188,23 @@ _MEDIA = "doc_id long, n_bytes long, media binary"
 _INFO = "codec string, timescale long, duration long, samples long, keyframes array<struct<offset:long,length:long>>, error string"
 
 
+def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of rows of at most BATCH_BYTES together, or one larger row."""
+    lo, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > lo and held + n > BATCH_BYTES:
+            yield lo, i
+            lo, held = i, 0
+        held += n
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-        for lo in range(0, len(raw), 500):
-            part = raw[lo : lo + 500]
+        for lo, hi in _parts([len(x) for x in raw]):
+            part = raw[lo:hi]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(part)).cast(pa.int64()), pa.array(map(len, part), pa.int64()), pa.array([write_container(pad(x)) for x in part], pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
@@ -198,7 +212,8 @@ def store(docs: DataFrame) -> DataFrame:
     """A media column of texts: doc_id, n_bytes (of the text in UTF-8), media (the container), a row for each of docs.
 
     The text's bytes, filled up with bytes 0 to a positive multiple of 64, are the samples. Null texts
-    count as empty; other columns are ignored.
+    count as empty; other columns are ignored. Rows that repeat, or have no doc_id, are stored each;
+    an empty table gives an empty result.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_store, _MEDIA)
 
@@ -206,15 +221,16 @@ def store(docs: DataFrame) -> DataFrame:
 def inspect(media: DataFrame, column: str = "media", key: str = "doc_id") -> DataFrame:
     """key and what the boxes of the column's first track tell; payloads are not decoded.
 
-    A null, empty or broken container gives nulls and the reason in `error`.
+    A null, empty or broken container gives nulls and the reason in `error`. Rows that repeat come back
+    as often; an empty table gives an empty result. The key may be null and of any type.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for data in batch.column(1).to_pylist():
+            for value in batch.column(1):
                 try:
-                    t = read_tracks(data or b"")[0]
+                    t = read_tracks(value.as_py() or b"")[0]
                     rows.append({"codec": t.codec.strip(), "timescale": t.timescale, "duration": t.duration, "samples": len(t.sizes), "keyframes": [{"offset": a, "length": n} for a, n in t.keyframes()], "error": None})
                 except (ValueError, IndexError) as e:
                     rows.append({"codec": None, "timescale": None, "duration": None, "samples": None, "keyframes": None, "error": str(e)})
@@ -229,7 +245,8 @@ def inspect(media: DataFrame, column: str = "media", key: str = "doc_id") -> Dat
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for data in batch.column(2).to_pylist():
+        for value in batch.column(2):  # one container at a time
+            data = value.as_py()
             track = read_tracks(data)[0]
             payload = read_payload(data, track)
             rows.append((len(payload), sha256(payload).hexdigest(), crc32(payload[-UNIT:]), len(data), sha256(data).hexdigest(), feature(track)))
@@ -241,5 +258,9 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """Digests of the stored containers and of the payloads read back from them by their sample tables."""
+    """Digests of the stored containers and of the payloads read back from them by their sample tables, a row for each container.
+
+    media: doc_id, n_bytes, media, as store() gives them; a null or broken container is an error. An
+    empty table gives an empty result.
+    """
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_read_back, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
