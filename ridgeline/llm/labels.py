@@ -103,7 +103,11 @@ def temperature(logits: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[
 
 
 def keep(docs: DataFrame, score: Callable[[Sequence[str]], np.ndarray], good: Callable[[np.ndarray], np.ndarray], text: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, whose text's score is good; no row leaves its partition. Null texts count as empty."""
+    """The rows of docs, with all columns, whose text's score is good; no row leaves its partition.
+
+    Null texts count as empty and stay null; columns may have any names; rows that repeat are judged
+    each; an empty table gives an empty result.
+    """
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,4 +115,5 @@ def keep(docs: DataFrame, score: Callable[[Sequence[str]], np.ndarray], good: Ca
             if batch.num_rows:
                 yield batch.filter(pa.array(good(score([t or "" for t in batch.column(at).to_pylist()]))))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # a name with a dot would not be found
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

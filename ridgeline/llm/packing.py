@@ -305,5 +305,10 @@ def pack(found: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, limit: int = LIMIT, end_id: int = 0, path: str | None = None) -> DataFrame:
-    """All documents (doc_id, text) packed into sequences of at most limit tokens: the columns of pieces() and sequence_id, offset."""
+    """All documents (doc_id, text) packed into sequences of at most limit tokens: the columns of pieces() and sequence_id, offset.
+
+    Nulls, empty and very long texts, repeated rows, other columns and empty tables: as in pieces().
+    Documents of one length are interchangeable; which of them goes where follows their place in the
+    table that is written for the purpose.
+    """
     return pack(pieces(docs, limit, end_id, path), limit)

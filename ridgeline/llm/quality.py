@@ -186,7 +186,13 @@ def learn(found: np.ndarray, at: np.ndarray, y: np.ndarray, base: float, seed: i
 
 
 def fit(docs: DataFrame, labels: DataFrame, seen: Column, label: str = "quality", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> QualityModel:
-    """A model of labels.<label>, learned from a bounded sample of the labelled rows for which `seen` holds. Without any, every score is near 1/2."""
+    """A model of labels.<label>, learned from a bounded sample of the labelled rows for which `seen` holds.
+
+    Null texts, ids and labels are no examples, empty texts are; rows that repeat count once; very long
+    texts cost only their own place in the sample. Without any examples every score is near 1/2. The
+    sample is taken by a hash of doc_id, then by doc_id and text, so ties have one order. Other columns
+    are never read.
+    """
     texts, y = sample(docs, labels, label, seen, rows, chars)
     found, at = read(texts)
     del texts
@@ -197,7 +203,12 @@ def fit(docs: DataFrame, labels: DataFrame, seen: Column, label: str = "quality"
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """(doc_id, score) of whole texts, a row for each row of docs. A null text counts as empty; only the text goes into a score."""
+    """(doc_id, score) of whole texts, a row for each row of docs, also where rows repeat or have no doc_id.
+
+    A null text counts as empty, and an empty text has the score of the average text; only the text
+    goes into a score, so equal texts have equal scores. Other columns are ignored; an empty table
+    gives an empty result.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)  # its size is set by BUCKETS and HIDDEN: 4 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,6 +220,10 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: QualityModel, least: float = 0.3) -> DataFrame:
-    """docs without the rows whose score is below `least`."""
+    """docs without the rows whose score is below `least`; a score of `least` stays.
+
+    The kept rows have all their columns, whatever their names, and come as often as they are given. A
+    null text is scored as an empty one and stays null; an empty table gives an empty result.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     return keep(docs, lambda texts: held.value.score(texts), lambda s: s >= least)

@@ -248,7 +248,13 @@ def learn(features: np.ndarray, at: np.ndarray, y: np.ndarray, base: float, epoc
 
 
 def fit(docs: DataFrame, labels: DataFrame, seen: Column, label: str = "toxic", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> ToxicityModel:
-    """A model of labels.<label>, learned from a bounded sample of the labelled rows for which `seen` holds."""
+    """A model of labels.<label>, learned from a bounded sample of the labelled rows for which `seen` holds.
+
+    Null texts, ids and labels are no examples, empty texts are; rows that repeat count once; very long
+    texts cost only their own place in the sample. Without any examples every score is 0.12. The sample
+    is taken by a hash of doc_id, then by doc_id and text, so ties have one order. Other columns are
+    never read.
+    """
     texts, y = sample(docs, labels, label, seen, rows, chars)
     features, at = read(texts)
     del texts
@@ -262,7 +268,9 @@ def tag(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> DataFrame:
     """doc_id, score and spans (start, end, probability) of whole texts, a row for each row of docs.
 
     A span is a run of neighbouring words whose marginals are at least `least`; places are in code
-    points, the end exclusive. A null text counts as empty; only the text goes into a score.
+    points, the end exclusive. A null text counts as empty; an empty text has no spans and the score of a
+    text without toxic words. Only the text goes into a score. Rows that repeat, or have no doc_id,
+    come back as often; other columns are ignored; an empty table gives an empty result.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # its size is set by BUCKETS: 1 MB
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
@@ -293,6 +301,10 @@ def tag(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: ToxicityModel, most: float = 0.7) -> DataFrame:
-    """docs without the rows whose score is `most` or more."""
+    """docs without the rows whose score is `most` or more.
+
+    The kept rows have all their columns, whatever their names, and come as often as they are given. A
+    null text is scored as an empty one and stays null; an empty table gives an empty result.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     return keep(docs, lambda texts: held.value.score(texts), lambda s: s < most)

@@ -120,7 +120,9 @@ def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     A row gives one record, its payload the html in UTF-8 (null: empty). Of the rows with equal
     payloads of at least 100 bytes the one with the least page_id is the response and the others are
     revisits of it; smaller payloads, and rows without page_id, are responses, and so are rows that
-    repeat the least page_id. Rows without url have no target. Other columns are ignored.
+    repeat the least page_id. Rows without url have no target. Other columns are ignored. A payload of
+    any length is one record, in an archive that ends with it once it has archive_bytes; an empty
+    table gives an empty result.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
@@ -142,7 +144,12 @@ def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
 
 
 def read(archives: DataFrame, payloads: bool = False) -> DataFrame:
-    """A row for every record of the archives: page_id, url, payload_bytes, payload_digest, record_type, refers_to, and payload if asked for."""
+    """A row for every record of the archives: page_id, url, payload_bytes, payload_digest, record_type, refers_to, and payload if asked for.
+
+    archives: a column archive, as write() gives it; other columns are ignored. A record without page_id
+    or target has nulls there, and a revisit has no payload. An archive that is null, cut off or does
+    not start with a dictionary frame is an error; an empty table gives an empty result.
+    """
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +169,11 @@ def read(archives: DataFrame, payloads: bool = False) -> DataFrame:
 
 
 def export(archives: DataFrame, folder: str) -> list[str]:
-    """Writes each archive as a file of its own in a folder of the driver, one at a time."""
+    """Writes each archive as a file of its own in a folder of the driver, one at a time, and returns their names.
+
+    Only one archive (of write()'s bound) is held at once. For archives beyond what one machine writes,
+    write the frame itself as a table. An empty table writes nothing.
+    """
     names = []
     for i, row in enumerate(archives.toLocalIterator()):
         names.append(f"{folder}/part-{i:06d}.warc.zst")

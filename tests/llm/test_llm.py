@@ -286,6 +286,19 @@ def test_classifiers_on_odd_texts(spark):
     assert toxicity.train([], np.zeros(0, int), 0.5).score(["x", ""]).shape == (2,)
 
 
+def test_columns_of_any_name_stay(spark):
+    """Names that operators use themselves, and names that need quoting, pass through the filtering operators."""
+    q, t = small_models()
+    names = ["score", "y", "order", "size", "digest", "bucket", "component", "n_shingles", "kept", "id", "count", "row", "a.b", "c1"]
+    rows = [(1, "the quiet river runs on by day 3", *range(14)), (1, "the quiet river runs on by day 3", *range(14)), (2, None, *range(14)), (3, "", *range(14)), (None, "the quiet river runs on", *range(14))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    for out, want in ((quality.reject(frame, q, 0), rows), (toxicity.reject(frame, t, 1.1), rows), (minhash.deduplicate(frame), rows[1:]), (secrets.redact(frame), rows)):
+        assert out.columns == frame.columns
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    for out in (quality.reject(frame.where("false"), q), toxicity.reject(frame.where("false"), t), minhash.deduplicate(frame.where("false")), secrets.redact(frame.where("false"))):
+        assert out.columns == frame.columns and out.collect() == []
+
+
 def test_toxic_spans(spark):
     _, t = small_models()
     text = "the quiet river 😀 you stupid clown number 7"
@@ -713,7 +726,7 @@ def test_media_query_columns(spark, monkeypatch):
 # The pipeline.
 
 
-def test_pipeline_stages(spark, tmp_path):
+def test_pipeline_stages(spark, tokenizer, tmp_path):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
@@ -727,6 +740,12 @@ def test_pipeline_stages(spark, tmp_path):
         assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         after = {r["doc_id"]: r["text"] for r in out.collect()}
         assert set(after) <= set(before)
+        if name in ("toxicity", "quality"):  # each text scored by itself, by the model of the same examples
+            module, label, seen = (toxicity, "toxic", labels.fold("doc_id", 3) != 1) if name == "toxicity" else (quality, "quality", labels.fold("doc_id", 5) != 0)
+            model = module.fit(docs, spark.read.parquet(f"{DIR}/labels.parquet"), seen)
+            scores = {i: model.score([t or ""])[0] for i, t in before.items()}
+            assert set(after) == {i for i, x in scores.items() if (x < 0.7 if name == "toxicity" else x >= 0.3)}
+            assert all(after[i] == before[i] for i in after)
         if name == "near_duplicates":
             want = brute_components(list(before.items()), 5, 80)
             assert set(after) == {i for i, c in want.items() if i == c}
@@ -736,7 +755,11 @@ def test_pipeline_stages(spark, tmp_path):
             assert all(not brute_secrets(t) for t in after.values())
         docs = out
     packed = out.collect()
-    assert {r["doc_id"] for r in packed} == set(after) and len(raw) >= len(after) > len(raw) / 2
+    for name, stage in corpus_pipeline.STAGES:
+        nothing = stage(spark, docs.where("false"), DIR)
+        assert nothing.columns == (out.columns if name == "packing" else docs.columns) and nothing.collect() == []
+    number, least = packed_like(list(after.items()), packed, tokenizer, 2048)
+    assert number == least and len(raw) >= len(after) > len(raw) / 2
 
 
 def test_fold_matches_python(spark):
