@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def divide(a: Column, b: Column) -> Column:
 
 def integer_divide(a: Column, b: Column) -> Column:
     """Division that truncates towards zero; by zero gives null."""
-    return F.when(b != 0, F.try_divide(a - F.try_mod(a, b), b).cast("bigint"))
+    return F.when(b != 0, F.call_function("div", a.cast("bigint"), b.cast("bigint")))
 
 
 BINARY: dict[str, Callable[[Column, Column], Column]] = {
@@ -172,18 +173,30 @@ def multiply_overflows(a: Column, b: Column) -> Column:
 
 
 def prime_factors(n: Column, limit: int = 1 << 16) -> Column:
-    """The prime factors of a positive integer below limit squared, ascending, with repetitions."""
-    start = F.struct(n.cast("bigint").alias("rest"), F.array().cast("array<bigint>").alias("out"))
-    candidates = F.sequence(F.lit(2).cast("bigint"), F.greatest(F.lit(2), F.floor(F.sqrt(n.cast("double")))).cast("bigint"))
+    """The prime factors of a positive integer, ascending, with repetitions; none of 1.
+
+    Primes below `limit` are divided out in whole numbers. What is left is a prime if it is below limit
+    squared, and an error otherwise; so all integers below limit squared have factors.
+    """
+    sieve = np.ones(limit, bool)
+    sieve[:2] = False
+    for k in range(2, int(limit**0.5) + 1):
+        if sieve[k]:
+            sieve[k * k :: k] = False
+    whole = n.cast("bigint")
+    primes = F.split(F.lit(" ".join(map(str, np.flatnonzero(sieve).tolist()))), " ").cast("array<bigint>")  # a constant
+    start = F.struct(whole.alias("rest"), F.array().cast("array<bigint>").alias("out"))
+    most = F.sequence(F.lit(1), F.lit(62))  # 2 divides a 64-bit integer at most so often
 
     def divide_out(acc: Column, p: Column) -> Column:
-        # As often as p divides: at most 62 times.
-        powers = F.filter(F.sequence(F.lit(1).cast("bigint"), F.lit(62).cast("bigint")), lambda e: (F.pow(p.cast("double"), e.cast("double")) <= acc["rest"].cast("double")) & (acc["rest"] % F.pow(p.cast("double"), e.cast("double")).cast("bigint") == 0))
-        times = F.size(powers)
-        rest = (acc["rest"] / F.pow(p.cast("double"), times.cast("double"))).cast("bigint")
-        return F.struct(F.when(times > 0, rest).otherwise(acc["rest"]).alias("rest"), F.concat(acc["out"], F.array_repeat(p, times)).alias("out"))
+        once = lambda a, _: F.when(a["rest"] % p == 0, F.struct(integer_divide(a["rest"], p).alias("rest"), F.concat(a["out"], F.array(p)).alias("out"))).otherwise(a)
+        return F.aggregate(most, acc, once)
 
-    return F.aggregate(candidates, start, divide_out, lambda acc: F.when(acc["rest"] > 1, F.concat(acc["out"], F.array(acc["rest"]))).otherwise(acc["out"]))
+    def finish(acc: Column) -> Column:
+        last = F.when(acc["rest"] < limit * limit, F.array(acc["rest"])).otherwise(F.raise_error(F.lit("a factor is beyond the limit")))
+        return F.when(acc["rest"] > 1, F.concat(acc["out"], last)).otherwise(acc["out"])
+
+    return F.when(whole > 0, F.aggregate(F.filter(primes, lambda p: whole % p == 0), start, divide_out, finish))
 
 
 def swap_bits(x: Column, i: int, j: int) -> Column:

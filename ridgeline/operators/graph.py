@@ -2,13 +2,21 @@
 
 An undirected graph stores both arcs of an edge (a loop once). Iterations write each state to the
 shared folder, so their lineage stays short and lost executors cost one step.
+
+A traversal of at most SMALL_ARCS arcs, counted first, runs in one task. Beyond it every step exchanges
+what the frontier reaches and no more: arcs lie in buckets by source, and the distances found so far
+in a few tables in buckets by vertex, each at least twice as large as the next. A step joins the
+frontier with the arcs, drops the offers that one of these tables betters, and adds the rest as a
+new table; neighbours of like size are merged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +26,9 @@ from ridgeline.operators.components import components
 from ridgeline.operators.segments import EVERY, Scope
 from ridgeline.session import Workspace
 
+#: Arcs (and sources) of a traversal that runs in one task; 24 bytes each.
+SMALL_ARCS = 1 << 20
+
 
 @dataclass(frozen=True)
 class Graph:
@@ -76,35 +87,69 @@ class Graph:
         new = f(F.col("src"), F.col("dst"), F.col("w"))
         return Graph(self.vertices, self.arcs.withColumn("w", F.when(scope.condition(F.col("src")), new).otherwise(F.col("w"))), self.directed)
 
+    def for_vertices(self, f: Callable[[Column, Column], Column], scope: Scope = EVERY) -> DataFrame:
+        """(v, value): f(v, degree) of every vertex in scope."""
+        return self.degrees().where(scope.condition(F.col("v"))).select("v", f(F.col("v"), F.col("degree")).alias("value"))
+
+    def set_edge_weights(self, edges: DataFrame) -> Graph:
+        """The graph with the weights of edges (src, dst, w), of which the last to be given must be the only one; new edges are added.
+
+        In an undirected graph both arcs of an edge get the weight.
+        """
+        new = Graph.of(edges, self.vertices, self.directed).arcs.withColumnRenamed("w", "__w")
+        arcs = self.arcs.join(new, ["src", "dst"], "full").select("src", "dst", F.coalesce("__w", "w").alias("w"))
+        return Graph(self.vertices, arcs, self.directed)
+
+    def equals(self, other: Graph) -> DataFrame:
+        """One row: whether both have the same vertices, and arcs of the same weights (of which those of weight 0 count as none)."""
+        kind = F.lit(self.directed == other.directed)
+        v = self.vertices.select("v", F.lit(1).alias("a")).join(other.vertices.select("v", F.lit(1).alias("b")), "v", "full").where("a is null or b is null")
+        e = self.arcs.where("w != 0").join(other.arcs.where("w != 0").withColumnRenamed("w", "x"), ["src", "dst"], "full").where("not (w <=> x)")
+        odd = v.select(F.lit(1)).unionByName(e.select(F.lit(1)))
+        return odd.agg(((F.count(F.lit(1)) == 0) & kind).alias("value"))
+
     # Traversals.
 
-    def distances(self, sources: list[int], weighted: bool) -> DataFrame:
+    def distances(self, sources: list[int] | DataFrame, weighted: bool) -> DataFrame:
         """(v, dist): the least sum of weights (or number of arcs) from any source; -1 where none reaches.
 
-        Each step relaxes the arcs of the vertices that the last step improved, until none is left.
+        sources: vertices, or a frame (v) of them; those that are no vertices of the graph count for
+        nothing. A cycle of negative weight that a source reaches is an error.
         """
         spark = self.vertices.sparkSession
-        work = Workspace(spark, "distances")
+        work, results = Workspace(spark, "distances"), Workspace(spark, "distances")
         kind = "double" if weighted else "bigint"
-        start = self.vertices.where(F.col("v").isin(list(sources))).select("v", F.lit(0).cast(kind).alias("dist"))
-        fresh = {"fresh": F.count_if("fresh")}
-        known, seen = work.measured(start.withColumn("fresh", F.lit(True)), **fresh)
-        arcs = work.write(self.arcs.select(F.col("src").alias("v"), "dst", (F.col("w") if weighted else F.lit(1)).cast(kind).alias("step")))
-        while seen["fresh"]:
-            reached = known.where("fresh").join(arcs, "v").groupBy(F.col("dst").alias("v")).agg(F.min(F.col("dist") + F.col("step")).alias("offer"))
-            both = known.select("v", "dist").join(reached, "v", "full")
-            better = F.col("dist").isNull() | (F.col("offer") < F.col("dist"))
-            after, seen = work.measured(both.select("v", F.when(F.col("offer").isNotNull() & better, F.col("offer")).otherwise(F.col("dist")).alias("dist"), F.coalesce(F.col("offer").isNotNull() & better, F.lit(False)).alias("fresh")), **fresh)
-            work.drop(known)
-            known = after
-        return self.vertices.join(known.select("v", "dist"), "v", "left").select("v", F.coalesce("dist", F.lit(-1).cast(kind)).alias("dist"))
-
-    def breadth_first(self, source: int) -> DataFrame:
-        return self.distances([source], False)
+        given = sources.select("v") if isinstance(sources, DataFrame) else self.vertices.where(F.col("v").isin(list(sources)))
+        start = given.join(self.vertices, "v", "left_semi").distinct() if isinstance(sources, DataFrame) else given.distinct()
+        both = self.arcs.select("src", "dst", (F.col("w") if weighted else F.lit(1)).cast(kind).alias("step"))
+        both = both.unionByName(start.select(F.col("v").alias("src"), F.lit(None).cast("bigint").alias("dst"), F.lit(0).cast(kind).alias("step")))
+        held, seen = work.measured(both, n=F.count(F.lit(1)))
+        if seen["n"] <= SMALL_ARCS:
+            found = results.write(held.coalesce(1).mapInArrow(_relaxed(weighted), f"v bigint, dist {kind}"))
+        else:
+            found = results.write(_distances_by_frontier(held, kind, work))
+        work.close()
+        return self.vertices.join(found, "v", "left").select("v", F.coalesce("dist", F.lit(-1).cast(kind)).alias("dist"))
+
+    def breadth_first(self, source: int, visitor: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+        """(v, dist): the number of arcs from the source; -1 where none leads. With a visitor, (v, dist, value) of the vertices reached but the source."""
+        found = self.distances([source], False)
+        return found if visitor is None else found.where("dist > 0").withColumn("value", visitor(F.col("v"), F.col("dist")))
 
     def shortest_paths(self, source: int) -> DataFrame:
         return self.distances([source], True)
 
+    def semiring_distances(self, source: int, steps: int, weighted: bool = True) -> DataFrame:
+        """(v, dist): the least sum of weights over paths of at most `steps` arcs, as that many products of vector and matrix in (min, +); -1 where there is none."""
+        kind = "double" if weighted else "bigint"
+        work = Workspace(self.vertices.sparkSession, "semiring")
+        arcs = self.arcs.select(F.col("src").alias("v"), "dst", (F.col("w") if weighted else F.lit(1)).cast(kind).alias("step"))
+        x = self.vertices.where(F.col("v") == source).select("v", F.lit(0).cast(kind).alias("dist"))
+        for _ in range(steps):
+            moved = x.join(arcs, "v").select(F.col("dst").alias("v"), (F.col("dist") + F.col("step")).alias("dist"))
+            x = work.write(x.unionByName(moved).groupBy("v").agg(F.min("dist").alias("dist")))
+        return self.vertices.join(x, "v", "left").select("v", F.coalesce("dist", F.lit(-1).cast(kind)).alias("dist"))
+
     def components(self) -> DataFrame:
         """(v, component): the least vertex that each is connected with, whichever way arcs point."""
         work = Workspace(self.vertices.sparkSession, "components")
@@ -115,12 +160,19 @@ class Graph:
         """Each undirected edge once; loops are edges."""
         return self.arcs.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "w").groupBy("a", "b").agg(F.min("w").alias("w"))
 
-    def is_forest(self) -> DataFrame:
-        """One row: whether the graph has no cycle: as many edges as vertices without components."""
+    def is_forest(self, roots: DataFrame | None = None) -> DataFrame:
+        """One row: whether the graph has no cycle: as many edges as vertices without components.
+
+        With roots (v), also whether every component holds one of them.
+        """
         n = self.vertices.agg(F.count(F.lit(1)).alias("n"))
-        trees = self.components().agg(F.count_distinct("component").alias("trees"))
+        parts = self.components()
+        if roots is not None:
+            parts = parts.join(roots.select("v", F.lit(1).alias("root")).distinct(), "v", "left")
+        held = parts.groupBy("component").agg(F.count("root").alias("roots") if roots is not None else F.lit(1).alias("roots"))
+        trees = held.agg(F.count(F.lit(1)).alias("trees"), F.coalesce(F.bool_and(F.col("roots") >= 1), F.lit(True)).alias("rooted"))
         edges = self._edges().agg(F.count(F.lit(1)).alias("edges"))
-        return n.join(trees).join(edges).select((F.col("edges") == F.col("n") - F.col("trees")).alias("value"))
+        return n.join(trees).join(edges).select(((F.col("edges") == F.col("n") - F.col("trees")) & F.col("rooted")).alias("value"))
 
     def is_tree(self) -> DataFrame:
         """One row: whether the graph is a forest of one tree; the empty graph is one."""
@@ -158,6 +210,82 @@ class Graph:
         return out.select("a", "b", "w").distinct()
 
 
+def _relaxed(weighted: bool):
+    """Least distances over all arcs (src, dst, step) of one task; rows without dst are the sources."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        rows = pa.Table.from_batches(parts).combine_chunks() if parts else None
+        if rows is None or not rows.num_rows:
+            return
+        source = rows["dst"].is_null().to_numpy()
+        src, step = rows["src"].to_numpy(), rows["step"].to_numpy()
+        dst = rows["dst"].fill_null(0).to_numpy()
+        names, place = np.unique(np.concatenate((src, dst[~source])), return_inverse=True)
+        start, tail, head, step = place[: len(src)][source], place[: len(src)][~source], place[len(src) :], step[~source]
+        order = np.argsort(tail, kind="stable")
+        tail, head, step = tail[order], head[order], step[order]
+        first = np.searchsorted(tail, np.arange(len(names) + 1))
+        none = np.inf if weighted else np.iinfo(np.int64).max
+        dist = np.full(len(names), none)
+        dist[start] = 0
+        fresh = np.unique(start)
+        for _ in range(len(names) + 1):
+            if not len(fresh):
+                break
+            size = first[fresh + 1] - first[fresh]
+            arc = np.arange(size.sum()) + np.repeat(first[fresh] - (np.cumsum(size) - size), size)
+            offer = np.repeat(dist[fresh], size) + step[arc]
+            better = offer < dist[head[arc]]
+            arc, offer = arc[better], offer[better]
+            np.minimum.at(dist, head[arc], offer)
+            fresh = np.unique(head[arc])
+        else:
+            raise ValueError("the graph has a cycle of negative weight")
+        reached = dist != none
+        yield pa.RecordBatch.from_arrays([pa.array(names[reached]), pa.array(dist[reached])], ["v", "dist"])
+
+    return run
+
+
+def _distances_by_frontier(held: DataFrame, kind: str, work: Workspace) -> DataFrame:
+    """(v, dist) of all vertices reached, over arcs and sources (src, dst, step) of any number."""
+    n = F.count(F.lit(1))
+    arcs, _ = work.bucketed(held.where("dst is not null").select(F.col("src").alias("v"), "dst", "step"), "v")
+    fresh, seen = work.bucketed(held.where("dst is null").select(F.col("src").alias("v"), F.col("step").alias("dist")).distinct(), "v", n=n)
+    levels, sizes = [fresh], [seen["n"]]  # the newest last
+    vertices, steps = 0, 0
+    while seen["n"]:
+        offers = fresh.join(arcs, "v").groupBy(F.col("dst").alias("v")).agg(F.min(F.col("dist") + F.col("step")).cast(kind).alias("dist"))
+        for level in reversed(levels):
+            known = level.select(F.col("v").alias("kv"), F.col("dist").alias("kd"))
+            offers = offers.join(known, (F.col("v") == F.col("kv")) & (F.col("kd") <= F.col("dist")), "left_anti")
+        fresh, seen = work.bucketed(offers, "v", n=n)
+        steps += 1
+        if steps >= 8 and steps & (steps - 1) == 0:  # a shortest path has fewer arcs than there are vertices
+            vertices = vertices or 2 * held.agg(F.approx_count_distinct(F.coalesce("dst", "src"), 0.02)).first()[0]
+            if steps > vertices:
+                raise ValueError("the graph has a cycle of negative weight")
+        size, merged = seen["n"], [fresh]
+        while size and sizes and sizes[-1] <= 2 * size:
+            size += sizes.pop()
+            merged.append(levels.pop())
+        if len(merged) > 1:
+            whole = merged[0]
+            for m in merged[1:]:
+                whole = whole.unionByName(m)
+            levels.append(work.bucketed(whole.groupBy("v").agg(F.min("dist").alias("dist")), "v")[0])
+            work.drop(*merged[1:])
+        elif size:
+            levels.append(fresh)
+        if size:
+            sizes.append(size)
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out.groupBy("v").agg(F.min("dist").alias("dist"))
+
+
 def random_graph(spark, n: int, degree: int, seed: int = 0) -> DataFrame:
     """Edges (src, dst, w) of a random directed graph: `degree` targets a vertex, from hashes of its number."""
     arcs = spark.range(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(degree - 1))).alias("k"))

@@ -199,7 +199,7 @@ def cuthill_mckee(neighbours: DataFrame, cells: DataFrame) -> DataFrame:
     g = Graph.of(arcs, cells.select(F.col("cid").alias("v")), directed=True)
     degree = g.degrees()
     parts = g.components().join(degree, "v")
-    starts = [r["v"] for r in parts.groupBy("component").agg(F.min(F.struct("degree", "v")).alias("s")).select("s.v").collect()]  # one cell a connected part
+    starts = parts.groupBy("component").agg(F.min(F.struct("degree", "v")).alias("s")).select("s.v")  # one cell a connected part
     level = g.distances(starts, False).withColumnRenamed("dist", "level")
     rows = parts.join(level, "v")
     return numbered(rows, "new", F.desc("component"), F.desc("level"), F.desc("degree"), F.desc("v")).select(F.col("v").alias("old"), "new")

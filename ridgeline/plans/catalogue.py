@@ -85,8 +85,35 @@ _reduction("find_first", lambda s, d: vector.find(events(s, d), 12.31), "SELECT
 _reduction("contains_value", lambda s, d: vector.contains(events(s, d), -1.0), "SELECT coalesce(bool_or(value = -1), false) AS value FROM events")
 _reduction("contains_only_value", lambda s, d: vector.contains_only(events(s, d), 1.0), "SELECT coalesce(bool_and(value = 1), true) AS value FROM events")
 _reduction("vector_dot", lambda s, d: rounded(vector.dot(events(s, d), table(s, d, "events").select(F.col("event_id").alias("i"), F.col("user_id").cast("double").alias("v"))), 2), "SELECT round(sum(value * user_id), 2) AS value FROM events")
-_reduction("vector_equal", lambda s, d: vector.equal(events(s, d), vector.evaluate(lambda v: v * 1.0, events(s, d))), "SELECT true AS value")
-_reduction("vector_compare", lambda s, d: vector.compare(events(s, d), vector.for_elements(events(s, d), lambda i, v: v + 1, (700, 701))), "SELECT -1 AS value")
+
+
+def cases(**found: DataFrame) -> DataFrame:
+    """(name, value) of one-row frames."""
+    rows = [df.select(F.lit(name).alias("name"), "value") for name, df in found.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def _others(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Vectors like that of the event values: the same, one element more or less at 700, and without the last element."""
+    v = events(spark, d)
+    last = v.agg(F.max("i")).first()[0]
+    change = lambda by: vector.for_elements(v, lambda i, x: x + by, (700, 701))
+    return {"same": vector.evaluate(lambda x: x * 1.0, v), "more": change(1), "less": change(-1), "shorter": v.where(F.col("i") < last)}
+
+
+@query("SELECT unnest(['same', 'more', 'less', 'shorter']) AS name, unnest([true, false, false, false]) AS value")
+def vector_equal(spark: SparkSession, d: str) -> DataFrame:
+    v = events(spark, d)
+    return cases(**{k: vector.equal(v, x) for k, x in _others(spark, d).items()})
+
+
+@query("SELECT unnest(['same', 'more', 'less', 'shorter']) AS name, unnest([0, -1, 1, 1])::INTEGER AS value")
+def vector_compare(spark: SparkSession, d: str) -> DataFrame:
+    v = events(spark, d)
+    return cases(**{k: vector.compare(v, x).select(F.col("value").cast("int").alias("value")) for k, x in _others(spark, d).items()})
 
 
 @query("SELECT true AS found, (SELECT count(*) FROM events WHERE value <= 20)::BIGINT AS index")
@@ -137,11 +164,11 @@ def discrete_math(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(k.alias("i"), M.round_up_division(k, F.lit(7)).alias("up"), M.round_to_multiple(k, F.lit(7)).alias("multiple"), M.is_pow2(k).alias("is_pow2"), M.discrete_log2(s + 1).alias("log2"), M.combinations(F.lit(3), s).alias("choose3"), M.discrete_pow(s, F.lit(3)).alias("cube"))
 
 
-@query("SELECT i, rest FROM (SELECT p_partkey AS i, (p_partkey + 2)::BIGINT AS rest FROM part)")
+@query("WITH primes AS MATERIALIZED (SELECT p FROM (SELECT unnest(range(2, (SELECT max(p_partkey) + 3 FROM part))) AS p) WHERE len(list_filter(range(2, floor(sqrt(p))::BIGINT + 1), lambda q: p % q = 0)) = 0) SELECT p_partkey AS i, string_agg(p::VARCHAR, ' ' ORDER BY p) AS factors FROM part JOIN primes ON (p_partkey + 2) % p = 0 JOIN (SELECT unnest(range(1, 20)) AS e) ON (p_partkey + 2) % pow(p, e) = 0 AND pow(p, e) <= p_partkey + 2 GROUP BY 1")
 def prime_factors(spark: SparkSession, d: str) -> DataFrame:
-    """The product of each number's prime factors is the number."""
+    """The prime factors of part numbers (plus 2)."""
     factors = M.prime_factors(F.col("p_partkey") + 2)
-    return table(spark, d, "part").select(F.col("p_partkey").alias("i"), F.aggregate(factors, F.lit(1).cast("bigint"), lambda a, x: a * x).alias("rest"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("i"), F.array_join(factors.cast("array<string>"), " ").alias("factors"))
 
 
 @query("SELECT event_id AS i, round(value * user_id - (user_id + 1) * 2, 4) AS re, round(value * 2 + (user_id + 1) * user_id, 4) AS im, round(sqrt(value * value + (user_id + 1.0) * (user_id + 1.0)), 4) AS abs FROM events")
@@ -340,9 +367,11 @@ def seg_for_elements(spark: SparkSession, d: str) -> DataFrame:
     return user_segments(spark, d).for_elements(lambda seg, loc, v: v + loc, Scope(between=(None, 20)))
 
 
-@query(f"SELECT seg, max(v) FILTER (loc = 0) AS value FROM {_USERS} GROUP BY seg")
+@query(f"SELECT seg, round(sum(v * (loc + 1)), 2) AS value FROM {_USERS} GROUP BY seg")
 def seg_for_segments(spark: SparkSession, d: str) -> DataFrame:
-    return user_segments(spark, d).for_segments(lambda values: F.try_element_at(values, F.lit(1)))
+    """The sum of every segment's values, each times its place from 1."""
+    weighted = lambda values: F.aggregate(F.transform(values, lambda v, k: v * (k + 1)), F.lit(0.0), lambda a, x: a + x)
+    return rounded(user_segments(spark, d).for_segments(weighted), 2)
 
 
 @query("SELECT seg, size, coalesce(sum(size) OVER (ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset FROM (SELECT o_orderkey AS seg, count(l_orderkey) AS size FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)")
@@ -449,10 +478,12 @@ def matrix_nonzeros(spark: SparkSession, d: str) -> DataFrame:
     return trade(spark, d).nonzeros()
 
 
-@query("SELECT true AS value")
+@query("SELECT unnest(['turned twice', 'turned', 'one changed', 'stored zero']) AS name, unnest([true, false, false, true]) AS value")
 def matrix_equals(spark: SparkSession, d: str) -> DataFrame:
     a = trade(spark, d)
-    return a.equals(a.transpose().transpose())
+    change = lambda row, col, v: spark.createDataFrame([(row, col, v)], "row bigint, col bigint, v double")
+    b = a.set_elements(change(2, 3, 0.0))
+    return cases(**{"turned twice": a.equals(a.transpose().transpose()), "turned": a.equals(a.transpose()), "one changed": a.equals(a.add_elements(change(3, 4, 1.0), 1.0)), "stored zero": b.equals(Matrix(b.elements.where("v != 0"), b.rows, b.cols))})
 
 
 @query(f'SELECT DISTINCT r AS "row", c AS col FROM (SELECT r, c FROM {_B} UNION SELECT c, r FROM {_B}) WHERE r <> c')
@@ -601,23 +632,30 @@ def graph_components(spark: SparkSession, d: str) -> DataFrame:
     return Graph.of(edges, part.select(F.col("src").alias("v")), False).components()
 
 
-@query("SELECT true AS value")
-def graph_is_tree(spark: SparkSession, d: str) -> DataFrame:
-    """Nations under regions under one root are a tree."""
+def _hierarchies(spark: SparkSession, d: str) -> dict[str, Graph]:
+    """Nations under regions: alone, under one root, and with an edge between the first two nations as well."""
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint") + 100, F.col("n_regionkey").cast("bigint") + 1).toDF("src", "dst")
     r = table(spark, d, "region").select(F.col("r_regionkey").cast("bigint") + 1, F.lit(0).cast("bigint")).toDF("src", "dst")
-    edges = n.unionByName(r)
-    return Graph.of(edges, edges.select(F.explode(F.array("src", "dst")).alias("v")).distinct(), False).is_tree()
+    more = spark.createDataFrame([(100, 101)], "src bigint, dst bigint")
+    edges = {"parts": n, "rooted": n.unionByName(r), "parts joined": n.unionByName(more), "cycle": n.unionByName(r).unionByName(more)}
+    return {k: Graph.of(e, e.select(F.explode(F.array("src", "dst")).alias("v")).distinct(), False) for k, e in edges.items()}
+
+
+_HIERARCHIES = "(SELECT 'parts' AS name, n AS edges, n + r AS vertices, r AS trees FROM k UNION ALL SELECT 'rooted', n + r, n + r + 1, 1 FROM k UNION ALL SELECT 'parts joined', n + 1, n + r, r - 1 FROM k UNION ALL SELECT 'cycle', n + r + 1, n + r + 1, 1 FROM k)"
+_COUNTS = "WITH k AS (SELECT (SELECT count(*) FROM nation) AS n, (SELECT count(DISTINCT n_regionkey) FROM nation) AS r)"
+
+
+@query(f"{_COUNTS} SELECT name, edges = vertices - trees AND trees = 1 AS value FROM {_HIERARCHIES}")
+def graph_is_tree(spark: SparkSession, d: str) -> DataFrame:
+    return cases(**{k: g.is_tree() for k, g in _hierarchies(spark, d).items()})
 
 
-@query("SELECT true AS value")
+@query(f"{_COUNTS} SELECT name, edges = vertices - trees AS value FROM {_HIERARCHIES}")
 def graph_is_forest(spark: SparkSession, d: str) -> DataFrame:
-    """Nations under regions alone are a forest."""
-    edges = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint") + 100, F.col("n_regionkey").cast("bigint")).toDF("src", "dst")
-    return Graph.of(edges, edges.select(F.explode(F.array("src", "dst")).alias("v")).distinct(), False).is_forest()
+    return cases(**{k: g.is_forest() for k, g in _hierarchies(spark, d).items()})
 
 
-@query()
+@query(f"WITH RECURSIVE arcs AS MATERIALIZED (SELECT src, dst, w, least(src, dst) AS a, greatest(src, dst) AS b FROM {_BOTH}), t(v, w, a, b) USING KEY (v) AS (SELECT 0::BIGINT, 0::DOUBLE, -1::BIGINT, -1::BIGINT UNION (SELECT e.dst, e.w, e.a, e.b FROM recurring.t JOIN arcs e ON e.src = t.v ANTI JOIN recurring.t k ON k.v = e.dst ORDER BY e.w, e.a, e.b LIMIT 1)) SELECT a, b, w FROM t WHERE a >= 0")
 def graph_spanning_forest(spark: SparkSession, d: str) -> DataFrame:
     return part_graph(spark, d, False).minimum_spanning_forest()
 

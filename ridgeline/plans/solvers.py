@@ -268,7 +268,10 @@ def power_iteration(a: Matrix, x0: DataFrame, shift: float = 0.0, control: Contr
 
 
 def qr_eigenvalues(matrices: DataFrame, key: str = "id", steps: int = 200) -> DataFrame:
-    """(key, n, value): eigenvalues of many small symmetric matrices (key, row, col, v), descending, by QR steps."""
+    """(key, n, value): eigenvalues of many small symmetric matrices (key, row, col, v), descending, by shifted QR steps.
+
+    The last row of what is left is taken off when all of it but the diagonal has vanished; `steps` bounds the steps for each.
+    """
 
     def run(pdf):
         import pandas as pd
@@ -276,9 +279,19 @@ def qr_eigenvalues(matrices: DataFrame, key: str = "id", steps: int = 200) -> Da
         n = int(max(pdf.row.max(), pdf.col.max())) + 1
         m = np.zeros((n, n))
         m[pdf.row, pdf.col] = pdf.v
-        for _ in range(steps):
-            q, r = np.linalg.qr(m)
-            m = r @ q
+        left, small = n, 1e-14 * max(np.abs(m).max(), 1e-300)
+        while left > 1:
+            part = m[:left, :left]
+            for _ in range(steps):
+                if np.abs(part[-1, :-1]).max() <= small:
+                    break
+                # The eigenvalue of the last two by two part that is nearer to its corner.
+                a, b, c = part[-2, -2], part[-2, -1], part[-1, -1]
+                half = (a - c) / 2
+                shift = c - b * b / (half + math.copysign(math.hypot(half, b), half)) if b else c
+                q, r = np.linalg.qr(part - shift * np.eye(left))
+                part[:] = r @ q + shift * np.eye(left)
+            left -= 1
         return pd.DataFrame({key: pdf[key].iloc[0], "n": np.arange(n), "value": np.sort(np.diag(m))[::-1]})
 
     return matrices.groupBy(key).applyInPandas(run, f"{key} bigint, n bigint, value double")

@@ -37,22 +37,27 @@ for _method, _precondition in (("sor", "none"), ("tfqmr", "diagonal"), ("idrs",
     query("SELECT n_regionkey::BIGINT AS id, n_nationkey // 5 AS i, (n_nationkey // 5 + 1)::DOUBLE AS v FROM nation")(_solved(_method, _precondition))
 
 
-@query("SELECT n_regionkey::BIGINT AS id, 0::DOUBLE AS gap FROM nation GROUP BY n_regionkey")
+_SYSTEMS = "(SELECT a.n_regionkey::BIGINT AS id, a.n_nationkey // 5 AS r, b.n_nationkey // 5 AS c, CASE WHEN a.n_nationkey = b.n_nationkey THEN 6.0 + a.n_regionkey ELSE -1.0 / abs(a.n_nationkey // 5 - b.n_nationkey // 5) END::DOUBLE AS v FROM nation a JOIN nation b USING (n_regionkey))"
+
+
+@query(f'SELECT id, r::BIGINT AS "row", c::BIGINT AS col, round(v, 6) AS v, CASE WHEN r = 0 THEN round(v, 6) WHEN c = 0 THEN round(v / (6.0 + id), 6) END AS factor FROM {_SYSTEMS}')
 def lu_product(spark: SparkSession, d: str) -> DataFrame:
-    """How far the product of the factors is from each system's matrix."""
+    """The product of the factors of each system's matrix, and what the factors hold in the first row and column."""
     a, _ = _systems(spark, d)
     f = solvers.lu(a)
     lower = f.where("row >= col").select("id", F.col("row"), F.col("col").alias("k"), F.when(F.col("row") == F.col("col"), 1.0).otherwise(F.col("v")).alias("l"))
     upper = f.where("row <= col").select("id", F.col("row").alias("k"), "col", F.col("v").alias("u"))
     product = lower.join(upper, ["id", "k"]).groupBy("id", "row", "col").agg(F.sum(F.col("l") * F.col("u")).alias("p"))
-    return product.join(a, ["id", "row", "col"]).groupBy("id").agg(F.round(F.max(F.abs(F.col("p") - F.col("v"))), 6).alias("gap"))
+    first = F.when((F.col("row") == 0) | (F.col("col") == 0), F.round("v", 6))
+    return product.join(f, ["id", "row", "col"]).select("id", "row", "col", F.round("p", 6).alias("v"), first.alias("factor"))
 
 
-@query("SELECT n_regionkey::BIGINT AS id, round(5 * (6 + n_regionkey), 4)::DOUBLE AS trace FROM nation GROUP BY n_regionkey")
+@query(f"WITH a AS {_SYSTEMS}, t AS (SELECT id, sum(v) FILTER (r = c) AS s1, sum(v * v) AS s2 FROM a GROUP BY id), u AS (SELECT x.id, sum(x.v * y.v * z.v) AS s3 FROM a x JOIN a y ON y.id = x.id AND y.r = x.c JOIN a z ON z.id = x.id AND z.r = y.c AND z.c = x.r GROUP BY x.id) SELECT id, round(s1, 4) AS s1, round(s2, 4) AS s2, round(s3, 4) AS s3 FROM t JOIN u USING (id)")
 def qr_eigenvalues(spark: SparkSession, d: str) -> DataFrame:
-    """The sum of each system's eigenvalues is its trace."""
+    """Sums of powers of each system's eigenvalues: the traces of the matrix and of its products with itself."""
     a, _ = _systems(spark, d)
-    return solvers.qr_eigenvalues(a).groupBy("id").agg(F.round(F.sum("value"), 4).alias("trace"))
+    powers = [F.round(F.sum(F.pow("value", F.lit(float(k)))), 4).alias(f"s{k}") for k in (1, 2, 3)]
+    return solvers.qr_eigenvalues(a).groupBy("id").agg(*powers)
 
 
 @query("SELECT c_custkey AS i, round((c_nationkey + 2.0) * 3 - 2, 4) AS det, round(3 / ((c_nationkey + 2.0) * 3 - 2), 6) AS inv00, round((3 * c_acctbal - 1) / ((c_nationkey + 2.0) * 3 - 2), 9) AS x0 FROM customer")
@@ -147,24 +152,28 @@ def mesh_centers(spark: SparkSession, d: str) -> DataFrame:
     return rounded(lattice(spark, d).centers(), 6)
 
 
-@query("SELECT count(*)::BIGINT AS pairs FROM (SELECT unnest(range(0, 2 * (3 * n * m + n + m) - 4 * (n + m) )) FROM (SELECT (SELECT count(*) FROM nation) AS n, (SELECT count(*) FROM region) AS m))")
+_CELLS = "(SELECT (r_regionkey * n + n_nationkey)::BIGINT AS cell, n_nationkey AS x, r_regionkey AS y, n, m FROM nation, region, (SELECT (SELECT count(*) FROM nation) AS n, (SELECT count(*) FROM region) AS m))"
+_SIDES = f"(SELECT 2 * cell AS a, 2 * cell + 1 AS b FROM {_CELLS} UNION ALL SELECT 2 * cell, 2 * (cell - n) + 1 FROM {_CELLS} WHERE y > 0 UNION ALL SELECT 2 * cell, 2 * (cell + 1) + 1 FROM {_CELLS} WHERE x < n - 1)"
+
+
+@query(f"SELECT a AS cid, b AS neighbour FROM {_SIDES} UNION ALL SELECT b, a FROM {_SIDES}")
 def mesh_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """How many ordered pairs of cells share a side: twice the inner sides."""
-    return lattice(spark, d).neighbours().agg(F.count(F.lit(1)).alias("pairs"))
+    return lattice(spark, d).neighbours()
 
 
-@query("SELECT 8 * n * m AS cells, round(2.0 * n * m, 6)::DOUBLE AS area FROM (SELECT (SELECT count(*) FROM nation) AS n, (SELECT count(*) FROM region) AS m)")
+@query(f"WITH t AS (SELECT 2 * cell AS cid, [x, x + 1, x + 1] AS px, [2 * y, 2 * y, 2 * y + 2] AS py FROM {_CELLS} UNION ALL SELECT 2 * cell + 1, [x, x + 1, x], [2 * y, 2 * y + 2, 2 * y + 2] FROM {_CELLS}), w AS (SELECT unnest([0, 1, 2, 3]) AS part, unnest([[4, 1, 1], [1, 4, 1], [1, 1, 4], [2, 2, 2]]) AS k) SELECT cid * 4 + part AS cid, round(list_inner_product(px::DOUBLE[], k::DOUBLE[]) / 6, 6) AS x, round(list_inner_product(py::DOUBLE[], k::DOUBLE[]) / 6, 6) AS y, 0.25::DOUBLE AS measure FROM t, w")
 def mesh_refined(spark: SparkSession, d: str) -> DataFrame:
+    """Centre and area of each of the four parts of every triangle."""
     m = lattice(spark, d).refined_triangles()
-    return m.measures().agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum("measure"), 6).alias("area"))
+    return rounded(m.centers().join(m.measures(), "cid").select("cid", "x", "y", "measure"), 6)
 
 
-@query("SELECT count(*)::BIGINT AS n, count(DISTINCT k)::BIGINT AS keys FROM (SELECT n_nationkey * 32 + r_regionkey AS k FROM nation, region)")
+@query(f"WITH RECURSIVE h(cell, x, y, s, d) AS (SELECT cell, x::BIGINT, y::BIGINT, 128::BIGINT, 0::BIGINT FROM {_CELLS} UNION ALL SELECT cell, CASE WHEN ry = 0 THEN fy ELSE x END, CASE WHEN ry = 0 THEN fx ELSE y END, s // 2, d + s * s * xor(3 * rx, ry) FROM (SELECT *, CASE WHEN rx = 1 THEN 255 - x ELSE x END AS fx, CASE WHEN rx = 1 THEN 255 - y ELSE y END AS fy FROM (SELECT *, ((x & s) > 0)::BIGINT AS rx, ((y & s) > 0)::BIGINT AS ry FROM h WHERE s > 0))) SELECT cell, d AS place FROM h WHERE s = 0")
 def hilbert_order(spark: SparkSession, d: str) -> DataFrame:
-    """Places along the Hilbert curve tell all lattice points apart."""
+    """The place of every lattice point along the Hilbert curve."""
     n, m = table(spark, d, "nation").count(), table(spark, d, "region").count()
-    rows = spark.range(n * m).select((F.col("id") % n).alias("x"), F.call_function("div", F.col("id"), F.lit(n)).alias("y"))
-    return rows.select(hilbert_key(F.col("x"), F.col("y"), 8).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("k").alias("keys"))
+    rows = spark.range(n * m).select(F.col("id").alias("cell"), (F.col("id") % n).alias("x"), F.call_function("div", F.col("id"), F.lit(n)).alias("y"))
+    return rows.select("cell", hilbert_key(F.col("x"), F.col("y"), 8).alias("place"))
 
 
 @query("SELECT cell, neighbour FROM (SELECT (r_regionkey * 25 + n_nationkey)::BIGINT AS cell, n_nationkey AS x, r_regionkey AS y FROM nation, region) a, LATERAL (SELECT unnest([CASE WHEN x > 0 THEN cell - 1 END, CASE WHEN x < 24 THEN cell + 1 END, CASE WHEN y > 0 THEN cell - 25 END, CASE WHEN y < 4 THEN cell + 25 END]) AS neighbour) WHERE neighbour IS NOT NULL")

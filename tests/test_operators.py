@@ -274,3 +274,54 @@ def test_hilbert_curve(spark):
     rows = spark.range(64).select((F.col("id") % 8).alias("x"), F.call_function("div", F.col("id"), F.lit(8)).alias("y"))
     path = [(r["x"], r["y"]) for r in rows.withColumn("k", hilbert_key(F.col("x"), F.col("y"), 3)).orderBy("k").collect()]
     assert all(abs(a[0] - b[0]) + abs(a[1] - b[1]) == 1 for a, b in zip(path, path[1:], strict=False))
+
+
+def test_distances_by_frontier_equal_those_of_one_task(spark, monkeypatch):
+    import random
+
+    from ridgeline.operators import graph as G
+
+    rng = random.Random(4)
+    rows = [(rng.randrange(60), rng.randrange(60), float(rng.randrange(1, 9))) for _ in range(110)] + [(k, k + 1, 1.0) for k in range(60, 66)] + [(5, 60, 2.0)]
+    edges = spark.createDataFrame(rows, "src bigint, dst bigint, w double")
+    g = G.Graph.of(edges, spark.range(80).select(F.col("id").alias("v")))
+    sources = spark.createDataFrame([(3,), (7,), (500,), (3,)], "v bigint")
+    for weighted in (False, True):
+        best = {v: 0.0 for v in (3, 7)}
+        for _ in range(80):
+            for a, b, w in rows:
+                if a in best:
+                    best[b] = min(best.get(b, 1e9), best[a] + (w if weighted else 1))
+        want = {v: best.get(v, -1) for v in range(80)}
+        for small in (1 << 20, 0):
+            monkeypatch.setattr(G, "SMALL_ARCS", small)
+            for given in (sources, [3, 7, 500]) if small else (sources,):
+                assert {r["v"]: r["dist"] for r in g.distances(given, weighted).collect()} == want
+    assert g.distances([], True).where("dist != -1").count() == 0
+    assert {r["v"]: r["dist"] for r in g.semiring_distances(3, 80).collect()} == {r["v"]: r["dist"] for r in g.shortest_paths(3).collect()}
+    visited = {r["v"]: r["value"] for r in g.breadth_first(3, lambda v, dist: v * 100 + dist).collect()}
+    assert visited == {r["v"]: r["v"] * 100 + r["dist"] for r in g.breadth_first(3).collect() if r["dist"] > 0}
+
+
+@pytest.mark.parametrize("small", [1 << 20, 0])
+def test_cycles_of_negative_weight_are_errors(spark, monkeypatch, small):
+    from ridgeline.operators import graph as G
+
+    monkeypatch.setattr(G, "SMALL_ARCS", small)
+    g = G.Graph.of(spark.createDataFrame([(0, 1, 1.0), (1, 2, -3.0), (2, 0, 1.0), (4, 4, 1.0)], "src bigint, dst bigint, w double"))
+    with pytest.raises(Exception, match="negative"):
+        g.shortest_paths(0).collect()
+    assert [r["dist"] for r in g.shortest_paths(4).orderBy("v").collect()] == [-1.0, -1.0, -1.0, -1.0, 0.0]
+
+
+def test_forest_roots_and_graph_equality(spark):
+    edges = spark.createDataFrame([(0, 1), (0, 2), (3, 4)], "src bigint, dst bigint")
+    g = Graph.of(edges, directed=False)
+    roots = lambda *v: spark.createDataFrame([(x,) for x in v], "v bigint")
+    assert [g.is_forest(roots(*r)).first()["value"] for r in ((0, 3), (1, 4, 2), (0,), (3,))] == [True, True, False, False]
+    cycle = Graph.of(spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "src bigint, dst bigint"), directed=False)
+    assert [x.first()["value"] for x in (cycle.is_forest(), cycle.is_tree(), cycle.is_forest(roots(0)))] == [False] * 3
+    heavier = g.set_edge_weights(spark.createDataFrame([(0, 1, 5.0)], "src bigint, dst bigint, w double"))
+    assert sorted((r["src"], r["w"]) for r in heavier.arcs.where("w != 1").collect()) == [(0, 5.0), (1, 5.0)]
+    assert [g.equals(x).first()["value"] for x in (g, heavier, Graph.of(edges, directed=True), Graph.of(edges, spark.range(9).withColumnRenamed("id", "v"), False))] == [True, False, False, False]
+    assert sorted(tuple(r) for r in g.for_vertices(lambda v, d: v * 10 + d).collect()) == [(0, 2), (1, 11), (2, 21), (3, 31), (4, 41)]
