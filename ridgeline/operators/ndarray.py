@@ -100,13 +100,36 @@ class NDArray:
         kind = dict(self.elements.dtypes)["v"]
         return self.elements.groupBy(*left).agg(functor.reduce(F.col("v"), kind).alias("value")) if left else self.elements.agg(functor.reduce(F.col("v"), kind).alias("value"))
 
-    def stencil(self, weights: dict[tuple[int, ...], float]) -> NDArray:
-        """Weighted sums over neighbours at fixed offsets; places outside count as 0.
+    def halo(self, edges: Sequence[int], width: int = 1, periodic: Sequence[bool] | None = None) -> DataFrame:
+        """(b0, ..., i0, ..., v, ghost): the elements of every block of edges places an axis, with those of its neighbours up to `width` places away.
+
+        Along a periodic axis the first and last blocks are neighbours, and their ghosts have places
+        below 0 or from the axis' size on. An element is copied at most three times an axis, so only
+        what lies near a block's side moves twice.
+        """
+        if any(e < width for e in edges) or any(s % e and s % e < width for s, e in zip(self.sizes, edges, strict=True)):
+            raise ValueError("a block must not be thinner than its neighbours' halos")
+        rows, ghost = self.elements, F.lit(False)
+        for k, (size, edge) in enumerate(zip(self.sizes, edges, strict=True)):
+            i, wraps, last = F.col(f"i{k}"), bool(periodic and periodic[k]), -(-size // edge) - 1
+            own = F.floor(i / edge)
+            place = lambda b, at, g: F.struct(F.lit(b).cast("bigint").alias("b") if isinstance(b, int) else b.alias("b"), at.alias("i"), F.lit(g).alias("g"))
+            below = F.when((i - own * edge < width) & (own > 0), place(own - 1, i, True))
+            above = F.when((F.least((own + 1) * edge, F.lit(size)) - i <= width) & (own < last), place(own + 1, i, True))
+            around = [F.when(i < width, place(last, i + size, True)), F.when(i >= size - width, place(0, i - size, True))] if wraps else []
+            rows = rows.withColumn("__p", F.explode(F.array_compact(F.array(place(own, i, False), below, above, *around))))
+            rows = rows.withColumns({f"b{k}": F.col("__p.b"), f"i{k}": F.col("__p.i"), f"__g{k}": F.col("__p.g")}).drop("__p")
+            ghost = ghost | F.col(f"__g{k}")
+        return rows.select(*(f"b{k}" for k in range(len(edges))), *self.axes, "v", ghost.alias("ghost"))
+
+    def stencil(self, weights: dict[tuple[int, ...], float], periodic: Sequence[bool] | None = None) -> NDArray:
+        """Weighted sums over neighbours at fixed offsets; places outside count as 0, or, along periodic axes, as those at the other end.
 
         Every element is sent to the places that it is a neighbour of, and these add up: one
         exchange with partial sums, for any number of offsets.
         """
-        sends = F.array(*(F.struct(*((F.col(f"i{k}") - o).alias(f"i{k}") for k, o in enumerate(at)), (F.col("v") * w).alias("v")) for at, w in weights.items()))
+        target = lambda k, o: F.pmod(F.col(f"i{k}") - o, F.lit(self.sizes[k])) if periodic and periodic[k] else F.col(f"i{k}") - o
+        sends = F.array(*(F.struct(*(target(k, o).alias(f"i{k}") for k, o in enumerate(at)), (F.col("v") * w).alias("v")) for at, w in weights.items()))
         moved = self.elements.select(F.explode(sends).alias("s")).select("s.*").where(self.box([0] * len(self.sizes), self.sizes))
         return NDArray(moved.groupBy(*self.axes).agg(F.sum("v").alias("v")), self.sizes, self.order)
 

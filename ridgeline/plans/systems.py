@@ -12,6 +12,7 @@ from ridgeline.operators.ndarray import Grid
 from ridgeline.operators.segments import Scope
 from ridgeline.plans import small, solvers
 from ridgeline.plans.catalogue import _B, _USERS, query, rounded, table, trade, user_segments
+from ridgeline.session import Workspace
 
 # One system a region: its nations, coupled by distance in key; the solution is 1, 2, 3, ...
 
@@ -164,7 +165,8 @@ def mesh_neighbours(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH t AS (SELECT 2 * cell AS cid, [x, x + 1, x + 1] AS px, [2 * y, 2 * y, 2 * y + 2] AS py FROM {_CELLS} UNION ALL SELECT 2 * cell + 1, [x, x + 1, x], [2 * y, 2 * y + 2, 2 * y + 2] FROM {_CELLS}), w AS (SELECT unnest([0, 1, 2, 3]) AS part, unnest([[4, 1, 1], [1, 4, 1], [1, 1, 4], [2, 2, 2]]) AS k) SELECT cid * 4 + part AS cid, round(list_inner_product(px::DOUBLE[], k::DOUBLE[]) / 6, 6) AS x, round(list_inner_product(py::DOUBLE[], k::DOUBLE[]) / 6, 6) AS y, 0.25::DOUBLE AS measure FROM t, w")
 def mesh_refined(spark: SparkSession, d: str) -> DataFrame:
     """Centre and area of each of the four parts of every triangle."""
-    m = lattice(spark, d).refined_triangles()
+    work, made = Workspace(spark, "refined"), lattice(spark, d).refined_triangles()
+    m = Mesh(work.write(made.points), work.write(made.cells))
     return rounded(m.centers().join(m.measures(), "cid").select("cid", "x", "y", "measure"), 6)
 
 

@@ -47,13 +47,22 @@ def read_mtx(spark: SparkSession, path: str, keep_symmetric: bool = False) -> Ma
     return out if keep_symmetric else out.general()
 
 
-def write_mtx(matrix: Matrix, path: str) -> None:
-    """As one Matrix Market file: a head and the stored elements, by row and column."""
+def read_graph_mtx(spark: SparkSession, path: str, directed: bool = True) -> Graph:
+    """The graph of a square matrix's elements; another shape is a ValueError."""
+    a = read_mtx(spark, path)
+    if a.rows != a.cols:
+        raise ValueError("the matrix of a graph must be square")
+    arcs = a.elements.select(F.col("row").alias("src"), F.col("col").alias("dst"), "v")
+    return Graph.of(arcs.withColumnRenamed("v", "w"), spark.range(a.rows).select(F.col("id").alias("v")), directed)
+
+
+def write_mtx(matrix: Matrix, path: str, parts: int = 1) -> None:
+    """As a Matrix Market file, a head and the stored elements by row and column: text files of a folder that, one after the other, are the file."""
     kind = "symmetric" if matrix.symmetric else "general"
     n = matrix.elements.count()
     head = matrix.spark.createDataFrame([(-2, 0, f"%%MatrixMarket matrix coordinate real {kind}"), (-1, 0, f"{matrix.rows} {matrix.cols} {n}")], "row bigint, col bigint, value string")
     body = matrix.elements.select("row", "col", F.concat_ws(" ", F.col("row") + 1, F.col("col") + 1, "v").alias("value"))
-    head.unionByName(body).repartitionByRange(1, "row").sortWithinPartitions("row", "col").select("value").write.text(path)
+    head.unionByName(body).repartitionByRange(parts, "row", "col").sortWithinPartitions("row", "col").select("value").write.text(path)
 
 
 def matches(matrix: Matrix, spark: SparkSession, path: str) -> DataFrame:

@@ -152,7 +152,10 @@ def test_paths(spark):
     assert [r["dist"] for r in directed.shortest_paths(1).orderBy("v").collect()] == [-1, 0, 1, -1]
 
 
-def test_spanning_forest(spark):
+@pytest.mark.parametrize("small", [1 << 20, 0])
+def test_spanning_forest(spark, monkeypatch, small):
+    monkeypatch.setattr("ridgeline.operators.graph.SMALL_ARCS", small)
+    # Two small graphs and their least spanning forests.
     six = graph(spark, [(0, 1, 1.0), (0, 2, 3.0), (1, 2, 2.0), (3, 4, 4.0), (3, 5, 5.0), (4, 5, 3.0)], 6, False)
     assert sorted(tuple(r) for r in six.minimum_spanning_forest().collect()) == [(0, 1, 1.0), (1, 2, 2.0), (3, 4, 4.0), (4, 5, 3.0)]
     nine = [(1, 0, 4), (2, 1, 8), (3, 2, 7), (4, 3, 9), (5, 2, 4), (5, 3, 14), (5, 4, 10), (6, 5, 2), (7, 0, 8), (7, 1, 11), (7, 6, 1), (8, 2, 2), (8, 6, 6), (8, 7, 7)]
