@@ -1,5 +1,5 @@
 """Plans that combine operators, and the registered queries."""
 
-from ridgeline.plans import catalogue, systems
+from ridgeline.plans import catalogue, files, systems
 
-__all__ = ["catalogue", "systems"]
+__all__ = ["catalogue", "files", "systems"]

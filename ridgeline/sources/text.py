@@ -10,8 +10,9 @@ from ridgeline.operators.matrix import Matrix
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, text) of the non-empty lines; line grows with the place in the file."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.trim("value").alias("text")).where("text != ''")
+    """(line, text) of the non-empty lines; line (file, start, id) grows with the place in the file, or in the files of a folder by name."""
+    line = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    return spark.read.text(path).select(line.alias("line"), F.trim("value").alias("text")).where("text != ''")
 
 
 def _words(text: Column) -> Column:
@@ -40,7 +41,7 @@ def read_mtx(spark: SparkSession, path: str, keep_symmetric: bool = False) -> Ma
     part = _words(F.col("text"))
     at = lambda k: F.try_element_at(part, F.lit(k))
     value = F.lit(1.0) if head[3] == "pattern" else at(3).cast("double")
-    found = body.where(F.col("line") > size["line"]).select("line", (at(1).cast("bigint") - 1).alias("row"), (at(2).cast("bigint") - 1).alias("col"), value.alias("v"))
+    found = body.where(F.col("line") > F.struct(*(F.lit(x) for x in size["line"])).cast("struct<file:string,start:bigint,id:bigint>")).select("line", (at(1).cast("bigint") - 1).alias("row"), (at(2).cast("bigint") - 1).alias("col"), value.alias("v"))
     inside = (F.col("row") >= 0) & (F.col("row") < rows) & (F.col("col") >= 0) & (F.col("col") < cols) & F.col("v").isNotNull()
     found = found.withColumn("v", F.when(inside, F.col("v")).otherwise(F.raise_error(F.lit("an element of the file lies outside the matrix or has no value"))))
     out = Matrix.of(found, rows, cols, symmetric=head[4] == "symmetric", order="line")
@@ -74,7 +75,7 @@ def find_line(spark: SparkSession, path: str, row: int, col: int) -> DataFrame:
     """(line): where an element (places from 0) stands in a Matrix Market file."""
     lines = _lines(spark, path).where(~F.startswith("text", F.lit("%")))
     part = _words(F.col("text"))
-    return lines.where((part[0].cast("bigint") == row + 1) & (part[1].cast("bigint") == col + 1)).select("line")
+    return lines.where((part[0].cast("bigint") == row + 1) & (part[1].cast("bigint") == col + 1)).select(F.col("line.id").alias("line"))
 
 
 def write_gnuplot(matrix: Matrix, path: str) -> None:
