@@ -15,7 +15,7 @@ from ridgeline.operators.graph import Graph
 from ridgeline.operators.matrix import Matrix
 from ridgeline.operators.ndarray import Grid, NDArray, split_range
 from ridgeline.operators.segments import Scope, Segments, from_keys
-from ridgeline.plans import ode, solvers
+from ridgeline.plans import krylov, ode, solvers
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -692,6 +692,22 @@ def solve_gmres(spark: SparkSession, d: str) -> DataFrame:
     return rounded(solvers.gmres(a, b, restart=12, control=solvers.Control(1e-9)).x)
 
 
+def _krylov_query(name: str, solver: Callable, **options: object) -> None:
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        a, _, b = _system(spark, d)
+        return rounded(solver(a, b, control=solvers.Control(1e-8), **options).x)
+
+    f.__name__ = name
+    query(_SOLUTION)(f)
+
+
+_krylov_query("solve_gmres_modified", solvers.gmres, restart=8, orthogonalise="mgs")
+_krylov_query("solve_tfqmr", krylov.tfqmr, precondition="diagonal")
+_krylov_query("solve_idrs", krylov.idrs, shadows=3)
+_krylov_query("solve_bicgstabl", krylov.bicgstab_l, degree=2)
+_krylov_query("solve_sor_coloured", krylov.sor, omega=1.1)
+
+
 @query(_SOLUTION)
 def solve_elimination(spark: SparkSession, d: str) -> DataFrame:
     a, _, b = _system(spark, d)

@@ -47,6 +47,12 @@ class Result:
     converged: bool
 
 
+def held_by_column(a: Matrix, work: Workspace) -> Matrix:
+    """The matrix with its elements written in buckets by column: products with it exchange vectors, never elements."""
+    elements, _ = work.bucketed(a.general().elements.select("row", "col", "v"), "col")
+    return Matrix(elements, a.rows, a.cols)
+
+
 def _times(a: Matrix, rows: DataFrame, of: str, name: str) -> DataFrame:
     """rows with the product of the matrix and column `of` as column `name`."""
     product = a.vector_product(rows.select("i", F.col(of).alias("v")))
@@ -75,6 +81,7 @@ def jacobi(a: Matrix, b: DataFrame, x0: DataFrame | None = None, omega: float =
     control = control or Control()
     work = Workspace(b.sparkSession, "jacobi")
     start = b.withColumnRenamed("v", "b").join(a.diagonal().withColumnRenamed("v", "d"), "i")
+    a = held_by_column(a, work)
     start = start.withColumn("x", F.lit(0.0)) if x0 is None else start.join(x0.withColumnRenamed("v", "x"), "i")
     now = work.write(start.select("i", "b", "d", "x"))
     norm = math.sqrt(_sums(now, F.col("b") * F.col("b"))[0]) or 1.0
@@ -92,6 +99,7 @@ def conjugate_gradients(a: Matrix, b: DataFrame, preconditioned: bool = False, c
     control = control or Control()
     work = Workspace(b.sparkSession, "cg")
     d = a.diagonal().withColumnRenamed("v", "d") if preconditioned else b.select("i", F.lit(1.0).alias("d"))
+    a = held_by_column(a, work)
     now = work.write(b.withColumnRenamed("v", "r").join(d, "i").select("i", "d", F.lit(0.0).alias("x"), "r", (F.col("r") / F.col("d")).alias("p")))
     rz, norm2 = _sums(now, F.col("r") * F.col("r") / F.col("d"), F.col("r") * F.col("r"))
     norm = math.sqrt(norm2)
@@ -113,6 +121,7 @@ def bicgstab(a: Matrix, b: DataFrame, control: Control | None = None) -> Result:
     """Stabilised bi-conjugate gradients, for general matrices."""
     control = control or Control()
     work = Workspace(b.sparkSession, "bicgstab")
+    a = held_by_column(a, work)
     now = work.write(b.withColumnRenamed("v", "r").select("i", F.lit(0.0).alias("x"), "r", F.col("r").alias("r0"), F.col("r").alias("p")))
     (rho,) = _sums(now, F.col("r") * F.col("r0"))
     norm = math.sqrt(rho)
@@ -135,10 +144,17 @@ def bicgstab(a: Matrix, b: DataFrame, control: Control | None = None) -> Result:
     return Result(now.select("i", F.col("x").alias("v")), step, rest, rest < control.convergence)
 
 
-def gmres(a: Matrix, b: DataFrame, restart: int = 10, reorthogonalise: bool = False, control: Control | None = None) -> Result:
-    """Generalised minimal residuals with restarts; the basis is columns of one frame, orthogonalised by Gram-Schmidt."""
+#: Ways to make the next vector of a basis orthogonal to the others: classical (all dot products in one pass) or modified Gram-Schmidt (one by one), once or twice.
+ORTHOGONALISATIONS = ("cgs", "cgsr", "mgs", "mgsr")
+
+
+def gmres(a: Matrix, b: DataFrame, restart: int = 10, orthogonalise: str = "cgs", control: Control | None = None) -> Result:
+    """Generalised minimal residuals with restarts; the basis is columns of one frame, orthogonalised in one of ORTHOGONALISATIONS."""
+    if orthogonalise not in ORTHOGONALISATIONS:
+        raise ValueError(f"no such orthogonalisation: {orthogonalise}")
     control = control or Control()
     work = Workspace(b.sparkSession, "gmres")
+    a = held_by_column(a, work)
     x = work.write(b.select("i", "v", F.lit(0.0).alias("x")))
     norm = math.sqrt(_sums(x, F.col("v") * F.col("v"))[0])
     step, rest = 0, 1.0 if norm else 0.0
@@ -153,13 +169,15 @@ def gmres(a: Matrix, b: DataFrame, restart: int = 10, reorthogonalise: bool = Fa
         used = 0
         for k in range(restart):
             rows = work.write(_times(a, basis, f"q{k}", "w"))
-            for _ in range(2 if reorthogonalise else 1):
-                dots = _sums(rows, *(F.col("w") * F.col(f"q{j}") for j in range(k + 1)))
+            groups = [range(k + 1)] if orthogonalise.startswith("cgs") else [[j] for j in range(k + 1)]
+            for group in groups * (2 if orthogonalise.endswith("r") else 1):
+                dots = _sums(rows, *(F.col("w") * F.col(f"q{j}") for j in group))
                 rest_w = F.col("w")
-                for j, c in enumerate(dots):
+                for j, c in zip(group, dots, strict=True):
                     h[j, k] += c
                     rest_w = rest_w - c * F.col(f"q{j}")
-                rows = work.write(rows.withColumn("w", rest_w))
+                rows = rows.withColumn("w", rest_w)
+            rows = work.write(rows)
             h[k + 1, k] = math.sqrt(_sums(rows, F.col("w") * F.col("w"))[0])
             used = k + 1
             step += 1
@@ -243,6 +261,7 @@ def power_iteration(a: Matrix, x0: DataFrame, shift: float = 0.0, control: Contr
         raise ValueError("the matrix must be square")
     control = control or Control(convergence=1e-10, most=500)
     work = Workspace(x0.sparkSession, "power")
+    a = held_by_column(a, work)
     now = work.write(x0.select("i", F.col("v").alias("x")))
     n, norm2 = now.agg(F.count(F.lit(1)), F.sum(F.col("x") * F.col("x"))).first()
     if n != a.rows:
