@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import functors
@@ -97,6 +97,27 @@ class Matrix:
         r, c = (max(row, col), min(row, col)) if self.symmetric else (row, col)
         return self.elements.where((F.col("row") == r) & (F.col("col") == c)).agg(F.coalesce(F.max("v"), F.lit(0.0)).alias("value"))
 
+    def get_row(self, row: int) -> DataFrame:
+        """(col, v) of the elements that the row stores, by column."""
+        return self.general().elements.where(F.col("row") == row).select("col", "v").orderBy("col")
+
+    def find_element(self, row: int, col: int) -> DataFrame:
+        """One row: whether the element is stored, and its value (null if not)."""
+        r, c = (max(row, col), min(row, col)) if self.symmetric else (row, col)
+        return self.elements.where((F.col("row") == r) & (F.col("col") == c)).agg((F.count(F.lit(1)) > 0).alias("found"), F.max("v").alias("value"))
+
+    def for_rows(self, f: Callable[[Column, Column], Column], scope: Scope = EVERY) -> DataFrame:
+        """(row, value): f(row, elements) of every row in the scope, elements an array of (col, v) by column; a row must fit a record."""
+        lists = self.general().elements.where(scope.condition(F.col("row"))).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "v"))).alias("__e"))
+        rows = _ids(self.spark, self.rows, "row").where(scope.condition(F.col("row"))).join(lists, "row", "left")
+        kind = dict(lists.dtypes)["__e"]
+        return rows.select("row", f(F.col("row"), F.coalesce("__e", F.array().cast(kind))).alias("value"))
+
+    def sorted_columns(self) -> DataFrame:
+        """(row, loc, col, v): the stored elements with their places by column inside each row, as compressed rows hold them."""
+        place = F.row_number().over(Window.partitionBy("row").orderBy("col")) - 1
+        return self.general().elements.select("row", place.cast("bigint").alias("loc"), "col", "v")
+
     def set_elements(self, changes: DataFrame) -> Matrix:
         """With the elements of changes (row, col, v) in place of what was stored."""
         return self._upsert(changes, lambda old, new: new)

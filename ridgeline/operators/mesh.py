@@ -58,8 +58,8 @@ class Mesh:
     def faces(self) -> DataFrame:
         """(fid, key, cells, boundary): each face once, numbered by its first cell and place; a boundary face has one cell."""
         once = self.cell_faces().groupBy("key").agg(F.min(F.struct("cid", "loc")).alias("first"), F.sort_array(F.collect_list("cid")).alias("cells"))
-        placed = once.withColumn("place", F.col("first.cid") * 64 + F.col("first.loc"))  # no shape has 64 faces but polygons, whose sides are below it in files met
-        return row_numbers(placed, "place", "fid").select("fid", "key", "cells", (F.size("cells") == 1).alias("boundary"))
+        placed = once.select("key", "cells", F.col("first.cid").alias("cid"), F.col("first.loc").alias("loc"))
+        return numbered(placed, "fid", F.asc("cid"), F.asc("loc")).select("fid", "key", "cells", (F.size("cells") == 1).alias("boundary"))
 
     def neighbours(self) -> DataFrame:
         """(cid, neighbour) over common faces, both ways: the dual graph."""
@@ -139,9 +139,9 @@ class Mesh:
 
     def simplices(self) -> Mesh:
         """The mesh of the simplices that the cells are cut into, numbered by cell and part."""
-        parts = self.cells.select("cid", F.posexplode(_by_shape({k: v for k, v in SIMPLICES.items()}, F.col("points"))).alias("loc", "points")).withColumn("place", F.col("cid") * 64 + F.col("loc"))
+        parts = self.cells.select("cid", F.posexplode(_by_shape({k: v for k, v in SIMPLICES.items()}, F.col("points"))).alias("loc", "points"))
         shape = F.when(F.size("points") == 3, "triangle").otherwise("tetrahedron")
-        return Mesh(self.points, row_numbers(parts, "place", "__cid").select(F.col("__cid").alias("cid"), shape.alias("shape"), "points"))
+        return Mesh(self.points, numbered(parts, "__cid", F.asc("cid"), F.asc("loc")).select(F.col("__cid").alias("cid"), shape.alias("shape"), "points"))
 
     def refined_triangles(self) -> Mesh:
         """Each triangle cut into four at the middles of its sides; a side's middle is one new point."""

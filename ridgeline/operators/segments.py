@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import functors
 from ridgeline.functions.functors import Functor
-from ridgeline.operators.scan import scan
+from ridgeline.operators.scan import BLOCK, scan
+from ridgeline.operators.sorting import numbered
+
+#: Elements of a segment up to which one task sorts it.
+HOT = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -107,19 +111,41 @@ class Segments:
         return got.agg(functors.of(functor).reduce(F.col("value"), got.dtypes[0][1]).alias("value"))
 
     def scan(self, functor: str | Functor = "plus", exclusive: bool = False, scope: Scope = EVERY) -> DataFrame:
-        """(seg, loc, v, scan) of the segments in the scope."""
+        """(seg, loc, v, scan) of the segments in the scope.
+
+        A segment is scanned in blocks of BLOCK places, each by itself; only segments of more than one
+        block need what their blocks hold before them.
+        """
         functor = functors.of(functor)
         _, rows = self._scoped(scope)
-        frame = Window.partitionBy("seg").orderBy("loc").rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
         kind = dict(rows.agg(functor.aggregate(F.col("v")).alias("v")).dtypes)["v"]
-        return rows.withColumn("scan", F.coalesce(functor.aggregate(F.col("v")).over(frame), functor.over_nothing(kind)))
+        rows = rows.withColumn("__block", F.floor(F.col("loc") / BLOCK))
+        upto = lambda *keys, last: Window.partitionBy("seg", *keys).orderBy("loc" if keys else "__block").rowsBetween(Window.unboundedPreceding, last)
+        wide = rows.where("__block > 0").select("seg").distinct()
+        totals = rows.join(wide, "seg", "left_semi").groupBy("seg", "__block").agg(functor.aggregate(F.col("v")).alias("__total"))
+        before = totals.select("seg", "__block", functor.aggregate(F.col("__total")).over(upto(last=-1)).alias("__before"))
+        local = F.coalesce(functor.aggregate(F.col("v")).over(upto("__block", last=-1 if exclusive else Window.currentRow)), functor.over_nothing(kind))
+        out = rows.withColumn("__local", local).join(before, ["seg", "__block"], "left")
+        value = F.when(F.col("__before").isNull(), F.col("__local")).otherwise(functor.combine(F.col("__before"), F.col("__local")))
+        return out.select("seg", "loc", "v", value.alias("scan"))
 
     def sort(self, key: Callable[[Column], Column] = lambda v: v, descending: bool = False, scope: Scope = EVERY) -> DataFrame:
-        """(seg, loc, v): elements in the order of their key, ties in their old order; segments outside the scope keep theirs."""
+        """(seg, loc, v): elements in the order of their key, ties in their old order; segments outside the scope keep theirs.
+
+        A segment is sorted in one task unless it has more than HOT elements; those are sorted together
+        by a range exchange on (seg, key), which cuts a segment where it must.
+        """
         by = F.desc("__key") if descending else F.asc("__key")
         place = F.row_number().over(Window.partitionBy("seg").orderBy(by, "loc")) - 1
         rows = self.elements.withColumn("__key", key(F.col("v")))
-        return rows.withColumn("loc", F.when(scope.condition(F.col("seg")), place.cast("bigint")).otherwise(F.col("loc"))).drop("__key")
+        small = lambda r: r.withColumn("loc", F.when(scope.condition(F.col("seg")), place.cast("bigint")).otherwise(F.col("loc"))).select("seg", "loc", "v")
+        hot = self.elements.where(scope.condition(F.col("seg")) & (F.col("loc") >= HOT)).select("seg").distinct()
+        if not hot.take(1):
+            return small(rows)
+        large = numbered(rows.join(hot, "seg", "left_semi"), "__place", F.asc("seg"), by, F.asc("loc"))
+        first = large.groupBy("seg").agg(F.min("__place").alias("__first"))
+        cut = large.join(first, "seg").select("seg", (F.col("__place") - F.col("__first")).alias("loc"), "v")
+        return small(rows.join(hot, "seg", "left_anti")).unionByName(cut)
 
     def find(self, condition: Callable[[Column, Column, Column], Column], scope: Scope = EVERY) -> DataFrame:
         """(seg, found, loc): the first element of each segment for which the condition holds."""
@@ -134,7 +160,11 @@ class Segments:
         return self.elements.withColumn("v", F.when(scope.condition(F.col("seg")), new).otherwise(F.col("v")))
 
     def for_segments(self, f: Callable[[Column], Column], scope: Scope = EVERY) -> DataFrame:
-        """(seg, value): f of each segment's values as an array in order; empty segments give f of an empty array."""
+        """(seg, value): f of each segment's values as an array in order; empty segments give f of an empty array.
+
+        f sees a segment whole, so each segment in the scope must fit a row (2 GB); reductions, scans and
+        sorts have no such bound.
+        """
         names, rows = self._scoped(scope)
         lists = rows.groupBy("seg").agg(F.array_sort(F.collect_list(F.struct("loc", "v"))).alias("pairs"))
         kind = dict(rows.dtypes)["v"]
@@ -154,5 +184,5 @@ class Segments:
         return Segments.of(self.segments, left.withColumn("loc", place.cast("bigint")))
 
     def by_size(self) -> DataFrame:
-        """(seg, size, rank): segments by falling size, ties by id."""
-        return self.segments.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "seg")) - 1)
+        """(seg, size, rank): segments by falling size, ties by id; a range exchange, no single task."""
+        return numbered(self.segments, "rank", F.desc("size"), F.asc("seg"))

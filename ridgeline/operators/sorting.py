@@ -34,6 +34,13 @@ def sort(vector: DataFrame, descending: bool = False, key: Callable[[Column], Co
     return out.select(F.col("place").alias("i"), "v")
 
 
+def sort_range(vector: DataFrame, begin: int, end: int, descending: bool = False, key: Callable[[Column], Column] = lambda v: v) -> DataFrame:
+    """The vector with the elements of places begin to end (exclusive) in order; the others keep their places."""
+    inside = (F.col("i") >= begin) & (F.col("i") < end)
+    moved = sort(vector.where(inside), descending, key).select((F.col("i") + begin).alias("i"), "v")
+    return vector.where(~inside).select("i", "v").unionByName(moved)
+
+
 def is_sorted(vector: DataFrame, descending: bool = False) -> DataFrame:
     """One row: whether no element stands before one that belongs ahead of it. True over at most one element."""
     next_ = vector.select((F.col("i") - 1).alias("i"), F.col("v").alias("next"))

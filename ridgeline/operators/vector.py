@@ -171,6 +171,43 @@ def dictionary(rows: DataFrame, key: str, position: str) -> DataFrame:
     return row_numbers(first, "first", "index").select(key, "index")
 
 
+def dictionary_counts(rows: DataFrame, key: str, of: DataFrame) -> DataFrame:
+    """(key, count): how often each key of a dictionary stands in rows; 0 for those that do not."""
+    found = rows.groupBy(key).agg(F.count(F.lit(1)).alias("count"))
+    return of.select(key).join(found, key, "left").select(key, F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
+
+
+def dictionary_erased(of: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The dictionary without the keys of gone; the indexes of the others stay."""
+    return of.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def dictionary_extended(of: DataFrame, key: str, rows: DataFrame, position: str) -> DataFrame:
+    """(key, index): the dictionary with the keys of rows that it lacks, numbered behind it in the order in which they first appear."""
+    fresh = dictionary(rows.join(of.select(key), key, "left_anti"), key, position)
+    after = of.agg(F.coalesce(F.max("index") + 1, F.lit(0)).alias("after"))  # one row
+    return of.select(key, "index").unionByName(fresh.join(F.broadcast(after)).select(key, (F.col("index") + F.col("after")).alias("index")))
+
+
+#: What concurrent updates of one place come to, by the operation's name.
+SCATTERS: dict[str, Callable[[str], Column]] = {"add": F.sum, "sub": lambda v: -F.sum(v), "min": F.min, "max": F.max, "and": F.bit_and, "or": F.bit_or, "xor": F.bit_xor}
+
+
+def scatter(vector: DataFrame, rows: DataFrame, target: str, value: str, operation: str = "add") -> DataFrame:
+    """(i, v): the vector after the updates of rows, whose order does not matter; places without updates keep their value."""
+    changes = rows.groupBy(F.col(target).alias("i")).agg(SCATTERS[operation](value).alias("__u"))
+    v, u = F.col("v"), F.col("__u")
+    new = {"add": v + u, "sub": v + u, "min": F.least(v, u), "max": F.greatest(v, u), "and": v.bitwiseAND(u), "or": v.bitwiseOR(u), "xor": v.bitwiseXOR(u)}[operation]
+    return vector.select("i", "v").join(changes, "i", "left").select("i", F.when(u.isNull(), v).otherwise(new).alias("v"))
+
+
+def exchange_if(vector: DataFrame, expected: DataFrame) -> DataFrame:
+    """(i, v, done): compare and exchange: of expected (i, old, new), one a place, those whose old is the place's value set it."""
+    rows = vector.select("i", "v").join(expected, "i", "left")
+    done = F.coalesce(F.col("v") == F.col("old"), F.lit(False))
+    return rows.select("i", F.when(done, F.col("new")).otherwise(F.col("v")).alias("v"), done.alias("done"))
+
+
 def scatter_add(rows: DataFrame, target: str, value: str) -> DataFrame:
     """(i, v): sums of the values that fall on each target, what atomic additions give."""
     return rows.groupBy(F.col(target).alias("i")).agg(F.sum(value).alias("v"))

@@ -139,9 +139,9 @@ def linear_combination(spark: SparkSession, d: str) -> DataFrame:
 
 _UNARY_SQL = {
     "abs": "abs(value)", "sign": "sign(value)::DOUBLE", "exp": "exp(value / 1e3)", "sqr": "value * value", "sqrt": "sqrt(value)", "cbrt": "cbrt(value)", "log": "ln(value + 1)", "log10": "log10(value + 1)", "log2": "log2(value + 1)",
-    "sin": "sin(value)", "cos": "cos(value)", "tan": "tan(value / 1e3)", "atan": "atan(value)", "sinh": "sinh(value / 1e3)", "cosh": "cosh(value / 1e3)", "tanh": "tanh(value)", "asinh": "asinh(value)", "acosh": "acosh(value + 1)", "floor": "floor(value)", "ceil": "ceil(value)",
+    "asin": "asin(value / 1e6)", "acos": "acos(value / 1e6)", "atanh": "atanh(value / 1e6)", "sin": "sin(value)", "cos": "cos(value)", "tan": "tan(value / 1e3)", "atan": "atan(value)", "sinh": "sinh(value / 1e3)", "cosh": "cosh(value / 1e3)", "tanh": "tanh(value)", "asinh": "asinh(value)", "acosh": "acosh(value + 1)", "floor": "floor(value)", "ceil": "ceil(value)",
 }
-_SHIFTED = {"exp": lambda v: v / 1e3, "tan": lambda v: v / 1e3, "sinh": lambda v: v / 1e3, "cosh": lambda v: v / 1e3, "log": lambda v: v + 1, "log10": lambda v: v + 1, "log2": lambda v: v + 1, "acosh": lambda v: v + 1}
+_SHIFTED = {**dict.fromkeys(("asin", "acos", "atanh"), lambda v: v / 1e6), "exp": lambda v: v / 1e3, "tan": lambda v: v / 1e3, "sinh": lambda v: v / 1e3, "cosh": lambda v: v / 1e3, "log": lambda v: v + 1, "log10": lambda v: v + 1, "log2": lambda v: v + 1, "acosh": lambda v: v + 1}
 
 
 @query("SELECT event_id AS i, " + ", ".join(f"round({e}, 6) AS {n}" for n, e in _UNARY_SQL.items()) + " FROM events")
@@ -205,6 +205,42 @@ def scatter_add(spark: SparkSession, d: str) -> DataFrame:
     return vector.scatter_add(table(spark, d, "lineitem"), "l_partkey", "l_quantity")
 
 
+def _scatter_query(operation: str, sql: str) -> None:
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        start = table(spark, d, "part").select(F.col("p_partkey").alias("i"), F.col("p_size").cast("bigint").alias("v"))
+        rows = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("at"), F.col("l_orderkey").alias("u"))
+        return vector.scatter(start, rows, "at", "u", operation)
+
+    f.__name__ = f"scatter_{operation}"
+    query(f"SELECT p_partkey AS i, (CASE WHEN u IS NULL THEN p_size ELSE {sql} END)::BIGINT AS v FROM part LEFT JOIN (SELECT l_partkey, {'sum' if operation == 'sub' else operation if operation in ('min', 'max') else 'bit_' + operation}(l_orderkey) AS u FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) ON l_partkey = p_partkey")(f)
+
+
+for _name, _sql in (("sub", "p_size - u"), ("min", "least(p_size, u)"), ("max", "greatest(p_size, u)"), ("and", "p_size & u"), ("or", "p_size | u"), ("xor", "xor(p_size::BIGINT, u)")):
+    _scatter_query(_name, _sql)
+
+
+@query("SELECT event_id AS i, CASE WHEN event_type = 'error' THEN -1.0 ELSE value END AS v, event_type = 'error' AS done FROM events")
+def compare_exchange(spark: SparkSession, d: str) -> DataFrame:
+    """Values of errors are expected as they are and exchanged; for all others another value is expected."""
+    rows = table(spark, d, "events")
+    expected = rows.select(F.col("event_id").alias("i"), F.when(F.col("event_type") == "error", F.col("value")).otherwise(F.col("value") + 1).alias("old"), F.lit(-1.0).alias("new"))
+    return vector.exchange_if(events(spark, d), expected)
+
+
+@query("WITH f AS (SELECT user_id AS key, min(event_id) FILTER (event_type <> 'error') AS a, min(event_id) AS b, count(*) AS n FROM events GROUP BY 1), x AS (SELECT *, CASE WHEN a IS NOT NULL THEN row_number() OVER (ORDER BY a NULLS LAST) - 1 ELSE (SELECT count(a) FROM f) + row_number() OVER (PARTITION BY a IS NULL ORDER BY b) - 1 END AS index FROM f) SELECT key, index::BIGINT AS index, n AS count FROM x WHERE key % 3 <> 0")
+def dictionary_updates(spark: SparkSession, d: str) -> DataFrame:
+    """A dictionary of the users without errors first, extended by all others, with every third key erased, and how often its keys stand in the table."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", "event_type")
+    known = vector.dictionary_extended(vector.dictionary(rows.where("event_type <> 'error'"), "key", "event_id"), "key", rows, "event_id")
+    left = vector.dictionary_erased(known, "key", rows.where("key % 3 = 0"))
+    return left.join(vector.dictionary_counts(rows, "key", left), "key").select("key", F.col("index").cast("bigint").alias("index"), "count")
+
+
+@query("SELECT CASE WHEN event_id >= 100 AND event_id < 700 THEN 99 + row_number() OVER (PARTITION BY event_id >= 100 AND event_id < 700 ORDER BY value, event_id) ELSE event_id END AS i, value AS v FROM events")
+def sort_part(spark: SparkSession, d: str) -> DataFrame:
+    return sorting.sort_range(events(spark, d), 100, 700)
+
+
 @query("SELECT k.i, j.j, (k.i * 3 + j.j)::BIGINT AS v FROM (SELECT n_nationkey::BIGINT AS i FROM nation) k, (SELECT r_regionkey::BIGINT AS j FROM region) j")
 def parallel_for(spark: SparkSession, d: str) -> DataFrame:
     """A function of every place of a nations x regions box."""
@@ -486,6 +522,29 @@ def matrix_equals(spark: SparkSession, d: str) -> DataFrame:
     return cases(**{"turned twice": a.equals(a.transpose().transpose()), "turned": a.equals(a.transpose()), "one changed": a.equals(a.add_elements(change(3, 4, 1.0), 1.0)), "stored zero": b.equals(Matrix(b.elements.where("v != 0"), b.rows, b.cols))})
 
 
+@query(f"SELECT c AS col, v FROM {_B} WHERE r = 3")
+def matrix_get_row(spark: SparkSession, d: str) -> DataFrame:
+    return trade(spark, d).get_row(3)
+
+
+@query(f"SELECT name, count(v) > 0 AS found, max(v) AS value FROM (SELECT unnest(['there', 'outside']) AS name, unnest([4, 400]) AS place) LEFT JOIN {_B} ON r = 3 AND c = place GROUP BY name")
+def matrix_find_element(spark: SparkSession, d: str) -> DataFrame:
+    a = trade(spark, d)
+    return a.find_element(3, 4).withColumn("name", F.lit("there")).unionByName(a.find_element(3, 400).withColumn("name", F.lit("outside")))
+
+
+@query(f'SELECT n_nationkey::BIGINT AS "row", round(coalesce(sum(v * (c + 1)), 0), 2)::DOUBLE AS value FROM nation LEFT JOIN {_B} ON r = n_nationkey WHERE n_nationkey < 20 GROUP BY 1')
+def matrix_for_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The sum of each row's elements, each times its column from 1."""
+    weighted = lambda row, e: F.aggregate(e, F.lit(0.0), lambda a, x: a + x["v"] * (x["col"] + 1))
+    return rounded(trade(spark, d).for_rows(weighted, Scope(between=(None, 20))), 2)
+
+
+@query(f'SELECT r AS "row", row_number() OVER (PARTITION BY r ORDER BY c) - 1 AS loc, c AS col, v FROM {_B}')
+def matrix_sorted_columns(spark: SparkSession, d: str) -> DataFrame:
+    return trade(spark, d).sorted_columns()
+
+
 @query(f'SELECT DISTINCT r AS "row", c AS col FROM (SELECT r, c FROM {_B} UNION SELECT c, r FROM {_B}) WHERE r <> c')
 def adjacency(spark: SparkSession, d: str) -> DataFrame:
     return trade(spark, d).adjacency()

@@ -328,3 +328,23 @@ def test_forest_roots_and_graph_equality(spark):
     assert sorted((r["src"], r["w"]) for r in heavier.arcs.where("w != 1").collect()) == [(0, 5.0), (1, 5.0)]
     assert [g.equals(x).first()["value"] for x in (g, heavier, Graph.of(edges, directed=True), Graph.of(edges, spark.range(9).withColumnRenamed("id", "v"), False))] == [True, False, False, False]
     assert sorted(tuple(r) for r in g.for_vertices(lambda v, d: v * 10 + d).collect()) == [(0, 2), (1, 11), (2, 21), (3, 31), (4, 41)]
+
+
+def test_large_segments_are_cut(spark, monkeypatch):
+    """Scans and sorts of segments that are larger than what one task takes give the same."""
+    from ridgeline.operators import segments as SG
+
+    rng = random.Random(5)
+    rows = [(s, k, float(rng.randrange(50))) for s, n in ((0, 300), (1, 3), (3, 120)) for k in range(n)]
+    held = Segments.of(spark.range(4).select(F.col("id").alias("seg")), spark.createDataFrame(rows, "seg bigint, loc bigint, v double"))
+    whole = {}
+    for cut in (False, True):
+        if cut:
+            monkeypatch.setattr(SG, "BLOCK", 7)
+            monkeypatch.setattr(SG, "HOT", 100)
+        for name, df in (("scan", held.scan()), ("before", held.scan(exclusive=True)), ("max", held.scan("max")), ("sort", held.sort()), ("down", held.sort(descending=True)), ("odd", held.sort(scope=Scope(where=lambda s: s % 2 == 1)))):
+            got = sorted(map(tuple, df.collect()))
+            assert whole.setdefault(name, got) == got
+    by_seg = {s: sorted(v for t, _, v in rows if t == s) for s in (0, 1, 3)}
+    assert whole["sort"] == [(s, k, v) for s in (0, 1, 3) for k, v in enumerate(by_seg[s])]
+    assert [tuple(r) for r in held.by_size().orderBy("rank").collect()] == [(0, 300, 0), (3, 120, 1), (1, 3, 2), (2, 0, 3)]
