@@ -290,7 +290,8 @@ def pack(found: DataFrame, limit: int = LIMIT) -> DataFrame:
     before = results.write(sizes.withColumn("before", before).drop("count"))
     work.close()
     within = split.withColumn("rank", F.row_number().over(Window.partitionBy(*parts).orderBy("row")) - 1)
-    ranked = within.join(before, parts).withColumn("rank", F.col("rank") + F.col("before")).select(*names, "rank")
+    # Both sides lie by the same key already; the counts grow with the files, so they are never broadcast.
+    ranked = within.join(before.hint("merge"), parts).withColumn("rank", F.col("rank") + F.col("before")).select(*names, "rank")
     kinds = ", ".join(f"{n} {t}" for n, t in held.dtypes)
     width, at_length = len(names), names.index(length)
 
