@@ -13,6 +13,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.session import Workspace
+
 #: Skippable frame that holds the dictionary of a .warc.zst file.
 SKIPPABLE = 0x184D2A5D
 #: Bytes of an archive before compression, of its dictionary, and of the records that the dictionary is built from.
@@ -128,6 +130,8 @@ def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     large = rows.where(f"octet_length(payload) >= {LEAST_REVISIT} and page_id is not null").select("page_id", "digest")
     least = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "refers_to")
+    # Written, so that the join with a digest that very many pages share can be split.
+    least = Workspace(pages.sparkSession, "warc").write(least)
     # A revisit is known by page and digest, so that rows which share a page_id but not the html stay apart.
     revisits = large.join(least, "digest").where("page_id != refers_to").distinct()
     typed = rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
