@@ -11,6 +11,7 @@ from ridgeline.functions import math as M
 from ridgeline.operators.graph import Graph
 from ridgeline.operators.scan import row_numbers
 from ridgeline.operators.sorting import numbered
+from ridgeline.session import Workspace
 
 #: Faces of each shape as local points, outward where the shape's points are in the usual file order.
 FACES: dict[str, tuple[tuple[int, ...], ...]] = {
@@ -190,6 +191,38 @@ def hilbert_key(x: Column, y: Column, bits: int = 16) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), start, step, lambda acc: acc["d"])
 
 
+def kd_tree_order(points: DataFrame, leaf: int = 1024, axes: str = "xyz") -> DataFrame:
+    """(old, new): points (pid, x, y, z) in the order of the leaves of a tree that halves them along each axis in turn.
+
+    A level finds the middle of every part with more than `leaf` points by one aggregation (the middle
+    is approximate, so parts differ a little in size; ties go left) and sends each point left or right;
+    leaves then stand in the tree's order, points inside by the last axis and id. Points that no axis
+    tells apart stay in one leaf.
+    """
+    work = Workspace(points.sparkSession, "kdtree")
+    now = work.write(points.select("pid", *axes, F.lit(1).cast("decimal(38,0)").alias("part"), F.lit(False).alias("done")))
+    level = 0
+    while True:
+        axis = axes[level % len(axes)]
+        open_ = now.where("not done").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(axis, 0.5, 10_000).alias("middle"), *(F.min(a).alias(f"lo{a}") for a in axes), *(F.max(a).alias(f"hi{a}") for a in axes))
+        flat = F.lit(True)
+        for a in axes:
+            flat = flat & (F.col(f"lo{a}") == F.col(f"hi{a}"))
+        # Where the upper half is empty, because the middle is the largest, only the largest go right.
+        wide = F.col(f"hi{axis}") > F.col(f"lo{axis}")
+        cut, seen = work.measured(open_.select("part", "middle", F.col(f"hi{axis}").alias("hi"), wide.alias("wide"), ((F.col("n") <= leaf) | flat).alias("ends")), left=F.count_if(~F.col("ends")))
+        if not seen["left"]:
+            break
+        right = F.col("wide") & F.when(F.col("middle") < F.col("hi"), F.col(axis) > F.col("middle")).otherwise(F.col(axis) >= F.col("hi"))
+        moved = now.join(cut, "part", "left")
+        ends = F.col("done") | F.coalesce("ends", F.lit(True))
+        # A leaf keeps its place in the tree: its path grows by zeros like all others'.
+        after = work.write(moved.select("pid", *axes, (F.col("part") * 2 + F.when(~ends & right, 1).otherwise(0)).cast("decimal(38,0)").alias("part"), ends.alias("done")))
+        work.drop(now, cut)
+        now, level = after, level + 1
+    return numbered(now.select("pid", "part", F.col(axes[-1]).alias("last")), "new", F.asc("part"), F.asc("last"), F.asc("pid")).select(F.col("pid").alias("old"), "new")
+
+
 def cuthill_mckee(neighbours: DataFrame, cells: DataFrame) -> DataFrame:
     """(old, new): the reverse Cuthill-McKee order of cells (cid) by their dual graph (cid, neighbour).
 

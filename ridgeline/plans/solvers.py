@@ -24,14 +24,17 @@ SMALL = 4096
 
 @dataclass
 class Control:
-    """When an iteration ends: below `convergence`, above `divergence` or at NaN, or after `most` steps; never before `least`."""
+    """When an iteration ends: below `convergence`, above `divergence` or at NaN, or after `most` steps; never before `least`. A monitor is told each step and its residue."""
 
     convergence: float = 1e-8
     divergence: float = 1e20
     most: int = 200
     least: int = 0
+    monitor: Callable[[int, float], None] | None = None
 
     def goes_on(self, step: int, residue: float) -> bool:
+        if self.monitor:
+            self.monitor(step, residue)
         if step and (math.isnan(residue) or residue > self.divergence):
             return False
         if residue < self.convergence and step >= self.least:

@@ -348,3 +348,25 @@ def test_large_segments_are_cut(spark, monkeypatch):
     by_seg = {s: sorted(v for t, _, v in rows if t == s) for s in (0, 1, 3)}
     assert whole["sort"] == [(s, k, v) for s in (0, 1, 3) for k, v in enumerate(by_seg[s])]
     assert [tuple(r) for r in held.by_size().orderBy("rank").collect()] == [(0, 300, 0), (3, 120, 1), (1, 3, 2), (2, 0, 3)]
+
+
+def test_kd_tree_order(spark):
+    from ridgeline.operators.mesh import kd_tree_order
+
+    rng = random.Random(8)
+    rows = [(k, float(rng.randrange(40)), float(rng.randrange(40)), 0.0) for k in range(500)] + [(k, 7.0, 7.0, 0.0) for k in range(500, 560)]
+    got = kd_tree_order(spark.createDataFrame(rows, "pid bigint, x double, y double, z double"), leaf=32, axes="xy").orderBy("new").collect()
+    assert sorted(r["old"] for r in got) == list(range(560)) and [r["new"] for r in got] == list(range(560))
+    at = {r[0]: r[1:3] for r in rows}
+    place = [at[r["old"]] for r in got]
+    assert max(x for x, _ in place[:200]) <= min(x for x, _ in place[-200:])  # the first cut is along x
+    near = lambda order: sum(abs(a[0] - b[0]) + abs(a[1] - b[1]) for a, b in zip(order, order[1:], strict=False))
+    assert near(place) < near([at[k] for k in range(560)])
+    assert kd_tree_order(spark.createDataFrame([], "pid bigint, x double, y double, z double")).collect() == []
+
+
+def test_monitor_sees_all_steps(spark):
+    seen = []
+    a = Matrix.tridiagonal(spark, 5, lambda r, c: F.when(r == c, 4.0).otherwise(-1.0))
+    done = solvers.conjugate_gradients(a, vec(spark, [1.0] * 5), control=solvers.Control(1e-9, monitor=lambda step, rest: seen.append((step, rest))))
+    assert [s for s, _ in seen] == list(range(done.steps + 1)) and seen[-1][1] == done.residue
