@@ -369,12 +369,12 @@ def seg_argmin_if(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"SELECT round(sum(v), 2) AS value FROM {_USERS} WHERE seg < 50")
-def seg_reduce_all(spark: SparkSession, d: str) -> DataFrame:
+def seg_reduce_all_range(spark: SparkSession, d: str) -> DataFrame:
     return rounded(user_segments(spark, d).reduce_all("plus", scope=Scope(between=(None, 50))), 2)
 
 
 @query(f"SELECT round(sum(v), 2) AS value FROM {_USERS}")
-def seg_reduce_every(spark: SparkSession, d: str) -> DataFrame:
+def seg_reduce_all(spark: SparkSession, d: str) -> DataFrame:
     return rounded(user_segments(spark, d).reduce_all("plus"), 2)
 
 
