@@ -34,9 +34,37 @@ SIMPLICES: dict[str, tuple[tuple[int, ...], ...]] = {
 }
 
 
-def _by_shape(table: dict[str, tuple[tuple[int, ...], ...]], points: Column) -> Column:
-    """For each row the point tuples of its shape; a polygon's faces are its sides."""
-    out = F.when(F.col("shape") == "polygon", F.transform(F.sequence(F.lit(0), F.size(points) - 1), lambda k: F.array(F.element_at(points, k + 1), F.element_at(points, (k + 1) % F.size(points) + 1))))
+def _lattice(dimension: int) -> tuple[tuple[tuple[int, ...], ...], ...]:
+    """The halves of an edge, quadrangle or hexahedron along each axis: for each part its corners, each as the old corners whose middle it is."""
+    places = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)][: 1 << dimension]
+    middle = lambda at: tuple(k for k, p in enumerate(places) if all(a == 1 or a == 2 * x for a, x in zip(at, p, strict=True)))
+    flat = lambda at: tuple(a if k < dimension else 0 for k, a in enumerate(at))
+    return tuple(tuple(middle(flat(tuple(s + c for s, c in zip(start, corner, strict=True)))) for corner in places) for start in places)
+
+
+#: Parts that a shape is refined into, by the old corners whose middle each new corner is.
+REFINED: dict[str, tuple[tuple[tuple[int, ...], ...], ...]] = {
+    "edge": _lattice(1),
+    "quadrangle": _lattice(2),
+    "hexahedron": _lattice(3),
+    "triangle": (((0,), (0, 1), (0, 2)), ((0, 1), (1,), (1, 2)), ((0, 2), (1, 2), (2,)), ((0, 1), (1, 2), (0, 2))),
+    # Four corners, and the inner octahedron cut along one diagonal.
+    "tetrahedron": (
+        ((0,), (0, 1), (0, 2), (0, 3)), ((0, 1), (1,), (1, 2), (1, 3)), ((0, 2), (1, 2), (2,), (2, 3)), ((0, 3), (1, 3), (2, 3), (3,)),
+        ((0, 1), (0, 2), (0, 3), (1, 3)), ((0, 1), (0, 2), (1, 2), (1, 3)), ((0, 2), (0, 3), (1, 3), (2, 3)), ((0, 2), (1, 2), (1, 3), (2, 3)),
+    ),
+}
+
+
+def _fan(points: Column) -> Column:
+    """The triangles of a convex polygon that share its first point."""
+    return F.transform(F.sequence(F.lit(1), F.size(points) - 2), lambda k: F.array(points[0], F.element_at(points, k + 1), F.element_at(points, k + 2)))
+
+
+def _by_shape(table: dict[str, tuple[tuple[int, ...], ...]], points: Column, polygon: Column | None = None) -> Column:
+    """For each row the point tuples of its shape; a polygon's are its sides, if no others are given."""
+    sides = F.transform(F.sequence(F.lit(0), F.size(points) - 1), lambda k: F.array(F.element_at(points, k + 1), F.element_at(points, (k + 1) % F.size(points) + 1)))
+    out = F.when(F.col("shape") == "polygon", sides if polygon is None else polygon)
     for shape, parts in table.items():
         out = out.when(F.col("shape") == shape, F.array(*(F.array(*(F.element_at(points, p + 1) for p in part)) for part in parts)))
     return out
@@ -139,11 +167,36 @@ class Mesh:
         return lists.select("cid", "loc", (~F.coalesce(off, F.lit(False))).alias("planar"))
 
     def simplices(self) -> Mesh:
-        """The mesh of the simplices that the cells are cut into, numbered by cell and part."""
-        parts = self.cells.select("cid", F.posexplode(_by_shape({k: v for k, v in SIMPLICES.items()}, F.col("points"))).alias("loc", "points"))
+        """The mesh of the simplices that the cells are cut into, numbered by cell and part; convex polygons become fans of triangles."""
+        parts = self.cells.select("cid", F.posexplode(_by_shape(SIMPLICES, F.col("points"), _fan(F.col("points")))).alias("loc", "points"))
         shape = F.when(F.size("points") == 3, "triangle").otherwise("tetrahedron")
         return Mesh(self.points, numbered(parts, "__cid", F.asc("cid"), F.asc("loc")).select(F.col("__cid").alias("cid"), shape.alias("shape"), "points"))
 
+    def refined(self) -> Mesh:
+        """Every edge, triangle, quadrangle, tetrahedron or hexahedron cut at the middles of its edges, faces and itself.
+
+        Cells are numbered by old cell and part. A middle is one new point, whichever cells it belongs
+        to: it is known by the old points that it lies between, and numbered in their order. Cells of
+        other shapes are an error.
+        """
+        work = Workspace(self.points.sparkSession, "refined")
+        p = F.col("points")
+        parts = F.when(F.lit(False), F.array().cast("array<array<array<bigint>>>"))
+        for shape, children in REFINED.items():
+            made = F.array(*(F.array(*(F.array_sort(F.array(*(F.element_at(p, k + 1) for k in corner))) for corner in child)) for child in children))
+            parts = parts.when(F.col("shape") == shape, made)
+        parts = parts.otherwise(F.raise_error(F.concat(F.lit("this shape is not refined: "), F.col("shape"))).cast("array<array<array<bigint>>>"))
+        corners = self.cells.select("cid", "shape", F.posexplode(parts).alias("loc", "corners")).select("cid", "shape", "loc", F.posexplode("corners").alias("at", "key"))
+        corners = work.write(corners)
+        after = self.points.agg((F.max("pid") + 1).alias("after"))  # one row
+        keys = numbered(corners.where(F.size("key") > 1).select("key").distinct(), "k", F.asc("key")).join(F.broadcast(after)).select("key", (F.col("after") + F.col("k")).alias("new"))
+        keys = work.write(keys)
+        middles = keys.select("new", F.explode("key").alias("pid")).join(self.points, "pid").groupBy(F.col("new").alias("pid")).agg(*(F.avg(c).alias(c) for c in "xyz"))
+        named = corners.join(keys, "key", "left").select("cid", "shape", "loc", "at", F.coalesce("new", F.col("key")[0]).alias("pid"))
+        cells = named.groupBy("cid", "shape", "loc").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "pid"))), lambda q: q["pid"]).alias("points"))
+        cells = numbered(cells, "__cid", F.asc("cid"), F.asc("loc")).select(F.col("__cid").alias("cid"), "shape", "points")
+        return Mesh(self.points.select("pid", "x", "y", "z").unionByName(middles), cells)
+
     def refined_triangles(self) -> Mesh:
         """Each triangle cut into four at the middles of its sides; a side's middle is one new point."""
         sides = self.cells.select(F.explode(_by_shape(FACES, F.col("points"))).alias("s")).select(F.array_sort("s").alias("s")).distinct().select(F.col("s")[0].alias("a"), F.col("s")[1].alias("b"))

@@ -370,3 +370,30 @@ def test_monitor_sees_all_steps(spark):
     a = Matrix.tridiagonal(spark, 5, lambda r, c: F.when(r == c, 4.0).otherwise(-1.0))
     done = solvers.conjugate_gradients(a, vec(spark, [1.0] * 5), control=solvers.Control(1e-9, monitor=lambda step, rest: seen.append((step, rest))))
     assert [s for s, _ in seen] == list(range(done.steps + 1)) and seen[-1][1] == done.residue
+
+
+@pytest.mark.parametrize("shape", ["edge", "triangle", "quadrangle", "tetrahedron", "hexahedron"])
+def test_refined_shapes(spark, shape):
+    """Two refinements keep the measure, and neighbours share their new points."""
+    box = [(0, 0, 0), (2, 0, 0), (2, 2, 0), (0, 2, 0), (0, 0, 2), (2, 0, 2), (2, 2, 2), (0, 2, 2), (4, 0, 0), (4, 2, 0), (4, 0, 2), (4, 2, 2)]
+    cells = {"edge": [[0, 1], [1, 8]], "triangle": [[0, 1, 2], [0, 2, 3]], "quadrangle": [[0, 1, 2, 3], [1, 8, 9, 2]], "tetrahedron": [[0, 1, 2, 5], [1, 8, 2, 5]], "hexahedron": [[0, 1, 2, 3, 4, 5, 6, 7], [1, 8, 9, 2, 5, 10, 11, 6]]}[shape]
+    used = sorted({p for c in cells for p in c})
+    m = Mesh(spark.createDataFrame([(k, *map(float, box[k])) for k in used], "pid bigint, x double, y double, z double"), spark.createDataFrame([(k, shape, c) for k, c in enumerate(cells)], "cid bigint, shape string, points array<bigint>"))
+    whole = m.measures().agg(F.sum("measure")).first()[0]
+    each = {"edge": 2, "triangle": 4, "quadrangle": 4, "tetrahedron": 8, "hexahedron": 8}[shape]
+    once = m.refined()
+    sizes = [r["measure"] for r in once.measures().collect()]
+    assert len(sizes) == 2 * each and math.isclose(sum(sizes), whole) and min(sizes) > 0
+    assert once.points.count() == once.points.select("x", "y", "z").distinct().count()
+    assert once.points.join(once.cells.select(F.explode("points").alias("pid")).distinct(), "pid", "left_anti").count() == 0
+    assert [r["cid"] for r in once.cells.orderBy("cid").collect()] == list(range(2 * each))
+    inner = once.cell_faces().groupBy("key").count().where("count = 2").count()
+    assert inner == {"edge": 3, "triangle": 8, "quadrangle": 10, "tetrahedron": 20, "hexahedron": 28}[shape]
+
+
+def test_polygons_are_cut_into_fans(spark):
+    points = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 2.0, 0.0, 0.0), (2, 3.0, 1.0, 0.0), (3, 2.0, 2.0, 0.0), (4, 0.0, 2.0, 0.0)], "pid bigint, x double, y double, z double")
+    m = Mesh(points, spark.createDataFrame([(0, "polygon", [0, 1, 2, 3, 4])], "cid bigint, shape string, points array<bigint>"))
+    cut = m.simplices()
+    assert [(r["shape"], r["points"]) for r in cut.cells.orderBy("cid").collect()] == [("triangle", [0, 1, 2]), ("triangle", [0, 2, 3]), ("triangle", [0, 3, 4])]
+    assert math.isclose(cut.measures().agg(F.sum("measure")).first()[0], m.measures().first()["measure"])
