@@ -343,14 +343,18 @@ class WordBpe:
 
     def _others(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray) -> np.ndarray:
         """The words whose letters are not those of their entry."""
-        size = ends - starts
-        other = size != self.letter_size[entry]
-        same = np.flatnonzero(~other)
-        if len(same):
-            differs = points[_spread(starts[same], size[same])] != self.letters[_spread(self.letter_start[entry[same]], size[same])]
-            if differs.any():
-                at = np.cumsum(size[same]) - size[same]
-                other[same] = np.logical_or.reduceat(differs, at)
+        other = ends - starts != self.letter_size[entry]
+        if len(starts):
+            # The letters beside the whole text; what stands between words is passed over.
+            first, kind = starts[0], np.int32 if len(points) + len(self.letters) < 1 << 30 else np.int64
+            index = np.repeat((self.letter_start[entry] - starts).astype(kind), np.diff(np.append(starts, len(points))))
+            index += np.arange(first, len(points), dtype=kind)
+            np.minimum(index, len(self.letters) - 1, out=index)
+            text = points[first:]
+            differs = np.flatnonzero((self.letters[index] != text) & (text != 32)) + first
+            if len(differs):
+                word = np.searchsorted(starts, differs, side="right") - 1
+                other[word[differs < ends[word]]] = True
         return np.flatnonzero(other)
 
     def ids_text(self, ids: np.ndarray) -> str:
