@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import ctypes
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
 #: Code points handled at a time; a longer text is handled alone.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+def trim() -> None:
+    """Gives freed memory of this process back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give_back(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, with memory given back after each partition: Python workers wait for the next task, and what they keep is lost to the executor."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        trim()
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, in place."""
     x ^= x >> U64(30)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import gc
 from collections.abc import Callable, Iterator, Sequence
 
@@ -11,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.llm import _text
 from ridgeline.session import Workspace
 
 #: Labelled rows and code points that a classifier is fitted on at most.
@@ -70,9 +70,7 @@ def blocks(at: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[int, int]]:
 def release() -> None:
     """Gives memory that training has freed back to the system, where the C library can."""
     gc.collect()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    _text.trim()
 
 
 def share(docs: DataFrame, labels: DataFrame, label: str, seen: Column) -> float:
@@ -116,4 +114,4 @@ def keep(docs: DataFrame, score: Callable[[Sequence[str]], np.ndarray], good: Ca
                 yield batch.filter(pa.array(good(score([t or "" for t in batch.column(at).to_pylist()]))))
 
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # a name with a dot would not be found
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(_text.tidy(run), plain.schema).toDF(*docs.columns)

@@ -128,7 +128,7 @@ def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verify(width, percent), "a long, b long")
+    return both.mapInArrow(_text.tidy(_verify(width, percent)), "a long, b long")
 
 
 def _sets(width: int):
@@ -240,7 +240,7 @@ def _blocks(rows: DataFrame, texts: DataFrame, width: int, work: Workspace) -> D
     """The documents of open buckets with their shingles, dealt to blocks of askers and asked."""
     needed = rows.select(F.col("id").alias("doc_id")).distinct()
     own = texts.join(needed.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
-    sets = work.write(own.mapInArrow(_sets(width), "id long, n long, shingles binary"))
+    sets = work.write(own.mapInArrow(_text.tidy(_sets(width)), "id long, n long, shingles binary"))
     asked_own, asking_own = (F.pmod(F.xxhash64("id"), F.col(c)).cast("int") for c in ("asked_blocks", "asking_blocks"))
     as_asked = F.transform(F.sequence(F.lit(0), F.col("asking_blocks") - 1), lambda x: F.struct((x * F.col("asked_blocks") + asked_own).alias("block"), F.lit(False).alias("asks")))
     as_asking = F.transform(F.sequence(F.lit(0), F.col("asked_blocks") - 1), lambda y: F.struct((asking_own * F.col("asked_blocks") + y).alias("block"), F.lit(True).alias("asks")))
@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     spark = docs.sparkSession
     work, results = Workspace(spark, "minhash"), Workspace(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = results.write(docs.mapInArrow(_sign(width, bands, rows), _SIGNED))
+    signed = results.write(docs.mapInArrow(_text.tidy(_sign(width, bands, rows)), _SIGNED))
     full = signed.where("n_shingles > 0 and doc_id is not null")
 
     # Equal sets: the least id stands for all. Written first, so that the join with a very large group of copies can be split.
@@ -295,7 +295,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         held, number = _open_buckets(members, labels, work)
     if number:
         blocks = _blocks(held, texts, width, work)
-        found = blocks.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(_block_links(percent), "a long, b long")
+        found = blocks.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(_text.tidy(_block_links(percent)), "a long, b long")
         links = links.unionByName(work.write(_links(work.write(found.distinct()), texts, width, percent)))
     final = results.write(components(links.unionByName(copies), work))
     work.close()

@@ -259,7 +259,7 @@ def pieces(docs: DataFrame, limit: int = LIMIT, end_id: int = 0, path: str | Non
     other columns are ignored. An empty table gives an empty result.
     """
     pair = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return pair.mapInArrow(_pieces(path, limit, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return pair.mapInArrow(_text.tidy(_pieces(path, limit, end_id)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(found: DataFrame, limit: int = LIMIT) -> DataFrame:

@@ -216,7 +216,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(held.value.score(texts), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_text.tidy(run), "doc_id long, score double")
 
 
 def reject(docs: DataFrame, model: QualityModel, least: float = 0.3) -> DataFrame:

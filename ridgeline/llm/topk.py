@@ -157,7 +157,7 @@ class Candidates:
                 np.subtract(row, far, out=one)
                 np.abs(one, out=one)
                 np.maximum(gap, one, out=gap)
-            order = np.argsort(gap, kind="stable")
+            order = np.argsort(gap)
             # No score is above its bound; the slack covers single precision and square roots near 0.
             slack = 1e-5 * max(self.unit**2, float(q_norms[i]))
             bound = (q_norms[i] + self.top) / 2 - gap[order].astype(np.float64) ** 2 * (self.unit**2 / 2) + slack

@@ -297,7 +297,7 @@ def tag(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(m.document_score(p, at), pa.float64()), pa.array(spans, span_type)], ["doc_id", "score", "spans"])
 
     pair = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return pair.mapInArrow(run, "doc_id long, score double, spans array<struct<start:long,end:long,probability:double>>")
+    return pair.mapInArrow(_text.tidy(run), "doc_id long, score double, spans array<struct<start:long,end:long,probability:double>>")
 
 
 def reject(docs: DataFrame, model: ToxicityModel, most: float = 0.7) -> DataFrame:
