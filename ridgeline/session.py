@@ -25,6 +25,22 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, **conf: str) -> Sp
     return spark
 
 
+#: Bytes of a batch that goes to a Python worker.
+BATCH_BYTES = 1 << 19
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on batches to Python workers end at BATCH_BYTES; a lower bound of the session stays.
+
+    Spark's own bound is 64 MB, which the executor holds outside its heap and the worker as Arrow and
+    as Python objects, for each task. The session keeps the setting: frames are run after they are made.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm import _text, bpe, chat, labels, media, minhash, packing, quality, secrets, topk, toxicity, warc
 from ridgeline.llm.queries import queries
+from ridgeline.session import small_batches
 
 DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string"
@@ -765,3 +766,27 @@ def test_pipeline_stages(spark, tokenizer, tmp_path):
 def test_fold_matches_python(spark):
     got = spark.range(50).select(labels.fold("id", 5).alias("f")).collect()
     assert [r["f"] for r in got] == [zlib.crc32(str(i).encode()) % 5 for i in range(50)]
+
+
+@pytest.mark.parametrize("name", ["toxicity", "quality", "near_duplicates", "packing"])
+def test_pipeline_bounds_batches_by_bytes(spark, name):
+    """Each stage with Python workers gets its texts in batches of 512 KB or one row, not of 64 MB."""
+    import corpus_pipeline
+
+    session = spark.newSession()
+    docs = session.createDataFrame([(i, "ab cd " * 500, "en", "x", 3000) for i in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
+    dict(corpus_pipeline.STAGES)[name](session, docs, DIR)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["rows", "bytes"])
+
+    def measured():
+        texts = session.range(0, 3000, 1, 1).select(F.repeat(F.lit("ab cd "), 500).alias("text"))
+        return texts.mapInArrow(sizes, "rows long, bytes long").agg(F.max("bytes"), F.sum("rows")).first()
+
+    most, rows = measured()
+    assert rows == 3000 and most < 600_000
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "100k")
+    small_batches(session)  # a lower bound stays
+    assert measured()[0] < 120_000
