@@ -296,19 +296,13 @@ def _distances_by_frontier(held: DataFrame, kind: str, work: Workspace) -> DataF
             size += sizes.pop()
             merged.append(levels.pop())
         if len(merged) > 1:
-            whole = merged[0]
-            for m in merged[1:]:
-                whole = whole.unionByName(m)
-            levels.append(work.bucketed(whole.groupBy("v").agg(F.min("dist").alias("dist")), "v")[0])
+            levels.append(work.bucketed(work.plain(*merged).groupBy("v").agg(F.min("dist").alias("dist")), "v")[0])
             work.drop(*merged[1:])
         elif size:
             levels.append(fresh)
         if size:
             sizes.append(size)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out.groupBy("v").agg(F.min("dist").alias("dist"))
+    return work.plain(*levels).groupBy("v").agg(F.min("dist").alias("dist"))
 
 
 def random_graph(spark, n: int, degree: int, seed: int = 0) -> DataFrame:

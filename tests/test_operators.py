@@ -306,6 +306,14 @@ def test_distances_by_frontier_equal_those_of_one_task(spark, monkeypatch):
     assert visited == {r["v"]: r["v"] * 100 + r["dist"] for r in g.breadth_first(3).collect() if r["dist"] > 0}
 
 
+def test_a_vertex_that_is_bettered_late_has_one_row(spark, monkeypatch):
+    monkeypatch.setattr("ridgeline.operators.graph.SMALL_ARCS", 0)
+    rows = [(0, k, 10.0) for k in range(1, 21)] + [(0, 21, 1.0), (21, 1, 1.0)]
+    g = Graph.of(spark.createDataFrame(rows, "src bigint, dst bigint, w double"))
+    got = sorted((r["v"], r["dist"]) for r in g.shortest_paths(0).collect())
+    assert got == [(0, 0.0), (1, 2.0), *((k, 10.0) for k in range(2, 21)), (21, 1.0)]
+
+
 @pytest.mark.parametrize("small", [1 << 20, 0])
 def test_cycles_of_negative_weight_are_errors(spark, monkeypatch, small):
     from ridgeline.operators import graph as G
