@@ -7,7 +7,8 @@ A traversal of at most SMALL_ARCS arcs, counted first, runs in one task. Beyond
 what the frontier reaches and no more: arcs lie in buckets by source, and the distances found so far
 in a few tables in buckets by vertex, each at least twice as large as the next. A step joins the
 frontier with the arcs, drops the offers that one of these tables betters, and adds the rest as a
-new table; neighbours of like size are merged.
+new table; neighbours of like size are merged. All these joins merge tables sorted by vertex: a table
+that is small as a file may be large in memory, and a broadcast in each step would pass the driver.
 """
 
 from __future__ import annotations
@@ -129,7 +130,7 @@ class Graph:
         else:
             found = results.write(_distances_by_frontier(held, kind, work))
         work.close()
-        return self.vertices.join(found, "v", "left").select("v", F.coalesce("dist", F.lit(-1).cast(kind)).alias("dist"))
+        return self.vertices.join(found.hint("merge"), "v", "left").select("v", F.coalesce("dist", F.lit(-1).cast(kind)).alias("dist"))
 
     def breadth_first(self, source: int, visitor: Callable[[Column, Column], Column] | None = None) -> DataFrame:
         """(v, dist): the number of arcs from the source; -1 where none leads. With a visitor, (v, dist, value) of the vertices reached but the source."""
@@ -281,10 +282,10 @@ def _distances_by_frontier(held: DataFrame, kind: str, work: Workspace) -> DataF
     levels, sizes = [fresh], [seen["n"]]  # the newest last
     vertices, steps = 0, 0
     while seen["n"]:
-        offers = fresh.join(arcs, "v").groupBy(F.col("dst").alias("v")).agg(F.min(F.col("dist") + F.col("step")).cast(kind).alias("dist"))
+        offers = fresh.join(arcs.hint("merge"), "v").groupBy(F.col("dst").alias("v")).agg(F.min(F.col("dist") + F.col("step")).cast(kind).alias("dist"))
         for level in reversed(levels):
             known = level.select(F.col("v").alias("kv"), F.col("dist").alias("kd"))
-            offers = offers.join(known, (F.col("v") == F.col("kv")) & (F.col("kd") <= F.col("dist")), "left_anti")
+            offers = offers.join(known.hint("merge"), (F.col("v") == F.col("kv")) & (F.col("kd") <= F.col("dist")), "left_anti")
         fresh, seen = work.bucketed(offers, "v", n=n)
         steps += 1
         if steps >= 8 and steps & (steps - 1) == 0:  # a shortest path has fewer arcs than there are vertices

@@ -314,6 +314,18 @@ def test_a_vertex_that_is_bettered_late_has_one_row(spark, monkeypatch):
     assert got == [(0, 0.0), (1, 2.0), *((k, 10.0) for k in range(2, 21)), (21, 1.0)]
 
 
+def test_distances_are_joined_without_broadcasts(spark, monkeypatch):
+    from ridgeline.operators import graph as G
+
+    made = []
+    real = G.Workspace.bucketed
+    monkeypatch.setattr(G.Workspace, "bucketed", lambda self, df, *a, **k: (made.append(df._jdf.queryExecution().executedPlan().toString()), real(self, df, *a, **k))[1])
+    monkeypatch.setattr(G, "SMALL_ARCS", 0)
+    found = Graph.of(spark.createDataFrame([(0, 1), (1, 2)], "src bigint, dst bigint")).breadth_first(0)
+    made.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(made) > 3 and not [p for p in made if "BroadcastExchange" in p]
+
+
 @pytest.mark.parametrize("small", [1 << 20, 0])
 def test_cycles_of_negative_weight_are_errors(spark, monkeypatch, small):
     from ridgeline.operators import graph as G
