@@ -176,7 +176,8 @@ def prime_factors(n: Column, limit: int = 1 << 16) -> Column:
     """The prime factors of a positive integer, ascending, with repetitions; none of 1.
 
     Primes below `limit` are divided out in whole numbers. What is left is a prime if it is below limit
-    squared, and an error otherwise; so all integers below limit squared have factors.
+    squared, and an error otherwise; so all integers below limit squared have factors. An integer is
+    divided by the primes up to the first power of 2 that is not below its root, never by all of them.
     """
     sieve = np.ones(limit, bool)
     sieve[:2] = False
@@ -184,7 +185,10 @@ def prime_factors(n: Column, limit: int = 1 << 16) -> Column:
         if sieve[k]:
             sieve[k * k :: k] = False
     whole = n.cast("bigint")
-    primes = F.split(F.lit(" ".join(map(str, np.flatnonzero(sieve).tolist()))), " ").cast("array<bigint>")  # a constant
+    upto = lambda most: F.split(F.lit(" ".join(map(str, np.flatnonzero(sieve[:most]).tolist()))), " ").cast("array<bigint>")  # noqa: E731, a constant
+    primes = upto(limit)
+    for k in reversed(range(2, (limit - 1).bit_length())):
+        primes = F.when(whole < 1 << (2 * k), upto(1 << k)).otherwise(primes)
     start = F.struct(whole.alias("rest"), F.array().cast("array<bigint>").alias("out"))
     most = F.sequence(F.lit(1), F.lit(62))  # 2 divides a 64-bit integer at most so often
 

@@ -16,6 +16,7 @@ from ridgeline.operators.matrix import Matrix
 from ridgeline.operators.ndarray import Grid, NDArray, split_range
 from ridgeline.operators.segments import Scope, Segments, from_keys
 from ridgeline.plans import krylov, ode, solvers
+from ridgeline.session import dealt
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -166,9 +167,10 @@ def discrete_math(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH primes AS MATERIALIZED (SELECT p FROM (SELECT unnest(range(2, (SELECT max(p_partkey) + 3 FROM part))) AS p) WHERE len(list_filter(range(2, floor(sqrt(p))::BIGINT + 1), lambda q: p % q = 0)) = 0) SELECT p_partkey AS i, string_agg(p::VARCHAR, ' ' ORDER BY p) AS factors FROM part JOIN primes ON (p_partkey + 2) % p = 0 JOIN (SELECT unnest(range(1, 20)) AS e) ON (p_partkey + 2) % pow(p, e) = 0 AND pow(p, e) <= p_partkey + 2 GROUP BY 1")
 def prime_factors(spark: SparkSession, d: str) -> DataFrame:
-    """The prime factors of part numbers (plus 2)."""
+    """The prime factors of part numbers (plus 2), by as many tasks as the rows are worth: a file may be one task."""
     factors = M.prime_factors(F.col("p_partkey") + 2)
-    return table(spark, d, "part").select(F.col("p_partkey").alias("i"), F.array_join(factors.cast("array<string>"), " ").alias("factors"))
+    part = table(spark, d, "part").select("p_partkey")
+    return dealt(part, part.count(), "p_partkey", each=1 << 14).select(F.col("p_partkey").alias("i"), F.array_join(factors.cast("array<string>"), " ").alias("factors"))
 
 
 @query("SELECT event_id AS i, round(value * user_id - (user_id + 1) * 2, 4) AS re, round(value * 2 + (user_id + 1) * user_id, 4) AS im, round(sqrt(value * value + (user_id + 1.0) * (user_id + 1.0)), 4) AS abs FROM events")

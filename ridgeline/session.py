@@ -41,6 +41,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+#: Rows that one task sorts or sums by key at once.
+TASK_ROWS = 1 << 20
+
+
+def dealt(df: DataFrame, rows: int, *keys: str, each: int = TASK_ROWS) -> DataFrame:
+    """df of so many rows, exchanged by keys into partitions of about `each`; df itself where one would do.
+
+    Neither the session's number of partitions nor the number of input files bounds a task's rows, and
+    partitions that have been asked for are not put together again.
+    """
+    n = -(-rows // each)
+    return df if n <= 1 else df.repartition(max(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 

@@ -326,6 +326,28 @@ def test_distances_are_joined_without_broadcasts(spark, monkeypatch):
     assert len(made) > 3 and not [p for p in made if "BroadcastExchange" in p]
 
 
+def test_prime_factors_use_the_primes_up_to_the_root(spark):
+    def factors(n):
+        out, p = [], 2
+        while n > 1:
+            while n % p == 0:
+                out.append(p)
+                n //= p
+            p = p + 1 if p * p <= n else n
+        return out
+
+    near = sorted({max(1, (1 << 2 * k) + e) for k in range(17) for e in (-2, -1, 0)} | {p * p + e for p in (2, 3, 7, 31, 127, 251, 8191, 65521) for e in (-1, 0, 1)} | set(range(1, 300)))
+    rows = spark.createDataFrame([(n,) for n in near], "n bigint").select("n", M.prime_factors(F.col("n")).alias("f"))
+    assert {r["n"]: r["f"] for r in rows.collect()} == {n: factors(n) for n in near}
+
+
+def test_prime_factors_of_a_table_in_one_file_take_many_tasks(spark, tmp_path):
+    from ridgeline.plans import catalogue
+
+    spark.range(1 << 16).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert catalogue.queries()["prime_factors"](spark, str(tmp_path)).rdd.getNumPartitions() >= 4
+
+
 @pytest.mark.parametrize("small", [1 << 20, 0])
 def test_cycles_of_negative_weight_are_errors(spark, monkeypatch, small):
     from ridgeline.operators import graph as G
