@@ -2,6 +2,9 @@
 
 Elements that are not stored are 0. A symmetric matrix stores its lower half and stands for both.
 Stored zeros are elements for traversals and reductions, but no non-zeros.
+
+Where it is known how many elements are stored at most, sums by place are dealt to as many tasks as these need,
+so that what a task holds does not grow with the matrix.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions import functors
 from ridgeline.functions.functors import Functor
 from ridgeline.operators.segments import EVERY, Scope
+from ridgeline.session import dealt
 
 
 def _ids(spark: SparkSession, n: int, name: str) -> DataFrame:
@@ -27,19 +31,23 @@ class Matrix:
     rows: int
     cols: int
     symmetric: bool = False
+    stored: int | None = None  #: elements at most, where known
 
     # Construction.
 
     @classmethod
-    def of(cls, elements: DataFrame, rows: int, cols: int, symmetric: bool = False, duplicates: str = "last", order: str | None = None) -> Matrix:
-        """From (row, col, v); of elements that repeat a place the last in `order` counts, or with duplicates="sum" their sum."""
+    def of(cls, elements: DataFrame, rows: int, cols: int, symmetric: bool = False, duplicates: str = "last", order: str | None = None, count: int | None = None) -> Matrix:
+        """From (row, col, v); of elements that repeat a place the last in `order` counts, or with duplicates="sum" their sum.
+
+        count: how many elements there are at most, where places seldom repeat; elements are then exchanged before they are summed.
+        """
         if symmetric:
             elements = elements.withColumns({"row": F.greatest("row", "col"), "col": F.least("row", "col")})
         if duplicates == "sum":
-            elements = elements.groupBy("row", "col").agg(F.sum("v").alias("v"))
+            elements = dealt(elements, count or 0, "row", "col").groupBy("row", "col").agg(F.sum("v").alias("v"))
         elif order:
             elements = elements.groupBy("row", "col").agg(F.max_by("v", order).alias("v"))
-        return cls(elements.select("row", "col", "v"), rows, cols, symmetric)
+        return cls(elements.select("row", "col", "v"), rows, cols, symmetric, count)
 
     @classmethod
     def from_csr(cls, spark: SparkSession, offsets: Sequence[int], columns: Sequence[int], values: Sequence[float], cols: int) -> Matrix:
@@ -130,12 +138,12 @@ class Matrix:
         if self.symmetric:
             changes = changes.withColumns({"row": F.greatest("row", "col"), "col": F.least("row", "col")})
         both = self.elements.join(changes.withColumnRenamed("v", "new"), ["row", "col"], "full")
-        return replace(self, elements=both.select("row", "col", F.when(F.col("new").isNotNull(), f(F.col("v"), F.col("new"))).otherwise(F.col("v")).alias("v")))
+        return replace(self, stored=None, elements=both.select("row", "col", F.when(F.col("new").isNotNull(), f(F.col("v"), F.col("new"))).otherwise(F.col("v")).alias("v")))
 
     def transpose(self, alpha: float = 1.0) -> Matrix:
         if self.symmetric:
             return replace(self, elements=self.elements.withColumn("v", F.col("v") * alpha))
-        return Matrix(self.elements.select(F.col("col").alias("row"), F.col("row").alias("col"), (F.col("v") * alpha).alias("v")), self.cols, self.rows)
+        return Matrix(self.elements.select(F.col("col").alias("row"), F.col("row").alias("col"), (F.col("v") * alpha).alias("v")), self.cols, self.rows, stored=self.stored)
 
     def compressed(self) -> Matrix:
         """Without stored zeros."""
@@ -193,7 +201,8 @@ class Matrix:
     def add(self, other: Matrix, alpha: float = 1.0, beta: float = 1.0) -> Matrix:
         """beta * A + alpha * B, stored where either is."""
         both = self.general().elements.select("row", "col", (F.col("v") * beta).alias("v")).unionByName(other.general().elements.select("row", "col", (F.col("v") * alpha).alias("v")))
-        return Matrix(both.groupBy("row", "col").agg(F.sum("v").alias("v")), self.rows, self.cols)
+        count = None if self.stored is None or other.stored is None else sum(m.stored * (2 if m.symmetric else 1) for m in (self, other))
+        return Matrix(dealt(both, count or 0, "row", "col").groupBy("row", "col").agg(F.sum("v").alias("v")), self.rows, self.cols, stored=count)
 
     def symmetric_part(self) -> Matrix:
         """The mean of an element and its mirror where both are stored, and the one of them where only one is."""

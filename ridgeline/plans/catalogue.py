@@ -430,9 +430,11 @@ _A = "(SELECT o_custkey AS r, l_partkey AS c, sum(l_quantity) AS v FROM orders J
 
 def quantities(spark: SparkSession, d: str) -> Matrix:
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("col"), F.col("l_quantity").alias("v"))
-    rows = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("row")).join(lines, "o_orderkey")
+    count = lines.count()
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("row"))
+    rows = dealt(orders, count, "o_orderkey").join(dealt(lines, count, "o_orderkey"), "o_orderkey")
     n, m = table(spark, d, "customer").count(), table(spark, d, "part").count()
-    return Matrix.of(rows.select("row", "col", "v"), n, m, duplicates="sum")
+    return Matrix.of(rows.select("row", "col", "v"), n, m, duplicates="sum", count=count)
 
 
 def prices(spark: SparkSession, d: str) -> DataFrame:

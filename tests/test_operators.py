@@ -348,6 +348,16 @@ def test_prime_factors_of_a_table_in_one_file_take_many_tasks(spark, tmp_path):
     assert catalogue.queries()["prime_factors"](spark, str(tmp_path)).rdd.getNumPartitions() >= 4
 
 
+@pytest.mark.parametrize("name", ["add"])
+def test_sums_of_matrices_take_tasks_by_the_number_of_elements(spark, monkeypatch, name):
+    monkeypatch.setattr("ridgeline.session.dealt.__kwdefaults__", {"each": 4})
+    made = spark.createDataFrame([(k % 7, k % 5, float(k)) for k in range(40)], "row bigint, col bigint, v double")
+    a, plain = (Matrix.of(made, 7, 7, duplicates="sum", count=c) for c in (40, None))
+    got, want = (m.add(m.transpose(), 1.0, 2.0) if name == "add" else m.symmetric_part() for m in (a, plain))
+    assert sorted(map(tuple, got.elements.collect())) == sorted(map(tuple, want.elements.collect()))
+    assert got.elements.rdd.getNumPartitions() == 20
+
+
 @pytest.mark.parametrize("small", [1 << 20, 0])
 def test_cycles_of_negative_weight_are_errors(spark, monkeypatch, small):
     from ridgeline.operators import graph as G
