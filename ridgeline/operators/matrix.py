@@ -207,7 +207,8 @@ class Matrix:
     def symmetric_part(self) -> Matrix:
         """The mean of an element and its mirror where both are stored, and the one of them where only one is."""
         both = self.elements.unionByName(self.elements.where("row != col").select(F.col("col").alias("row"), F.col("row").alias("col"), "v"))
-        return Matrix(both.groupBy("row", "col").agg(F.avg("v").alias("v")), self.rows, self.cols)
+        count = None if self.stored is None else 2 * self.stored
+        return Matrix(dealt(both, count or 0, "row", "col").groupBy("row", "col").agg(F.avg("v").alias("v")), self.rows, self.cols, stored=count)
 
     def adjacency(self, with_diagonal: bool = False, both_ways: bool = True) -> DataFrame:
         """(row, col): the places that are stored, with their mirrors."""

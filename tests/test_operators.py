@@ -348,7 +348,7 @@ def test_prime_factors_of_a_table_in_one_file_take_many_tasks(spark, tmp_path):
     assert catalogue.queries()["prime_factors"](spark, str(tmp_path)).rdd.getNumPartitions() >= 4
 
 
-@pytest.mark.parametrize("name", ["add"])
+@pytest.mark.parametrize("name", ["add", "symmetric_part"])
 def test_sums_of_matrices_take_tasks_by_the_number_of_elements(spark, monkeypatch, name):
     monkeypatch.setattr("ridgeline.session.dealt.__kwdefaults__", {"each": 4})
     made = spark.createDataFrame([(k % 7, k % 5, float(k)) for k in range(40)], "row bigint, col bigint, v double")
